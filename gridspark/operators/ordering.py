@@ -36,12 +36,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "ran
     ``order`` must be total inside a key for a stable result.
     """
     s = sliced(df, keys, order)
-    per = s.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    per = s.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per = per.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if count:
-        per = per.withColumn(count, F.sum("_n").over(W.partitionBy(*keys)))
-    per = per.drop("_n")
+        per = per.withColumn(count, F.sum("_rows").over(W.partitionBy(*keys)))
+    per = per.drop("_rows")
     inner = W.partitionBy(*keys, SLICE).orderBy(*_order(order))
     s = s.withColumn("_rn", F.row_number().over(inner))
     cond = [s[k].eqNullSafe(per[k]) for k in keys] + [s[SLICE] == per[SLICE]]
