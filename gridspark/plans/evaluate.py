@@ -22,3 +22,16 @@ def zone_summary(rows: DataFrame) -> DataFrame:
     ok = ~F.isnan("absrel")
     return rows.groupBy("zone").agg(*[F.avg(F.when(ok, F.col(m))).alias(m) for m in ("absrel", "rmse", "delta1")],
                                     F.count_if(ok).alias("n"))
+
+
+def reconstruction_error(px: DataFrame, weight: float = 0.1) -> DataFrame:
+    """Absolute error plus weighted gradient error where the 3x3 window is fully measured."""
+    from gridspark.operators import raster as R
+
+    p = px.withColumn("_t", F.when(F.col("gt") > 0, F.col("gt")).otherwise(0.0)).withColumn("_ok", (F.col("gt") > 0).cast("int"))
+    p = R.sobel(p, "pred").withColumnsRenamed({"gx": "_px", "gy": "_py"})
+    p = R.sobel(p, "_t").withColumnsRenamed({"gx": "_tx", "gy": "_ty"})
+    p = R.extreme_filter(p, F.col("_ok"), 3, "_full", "min")
+    grad = F.abs(F.col("_px") - F.col("_tx")) + F.abs(F.col("_py") - F.col("_ty"))
+    err = F.when(F.col("gt") > 0, F.abs(F.col("pred") - F.col("gt"))).otherwise(0.0) + F.when(F.col("_full") == 1, weight * grad).otherwise(0.0)
+    return p.withColumn("err", err).drop("_t", "_ok", "_px", "_py", "_tx", "_ty", "_full")
