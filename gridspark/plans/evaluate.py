@@ -35,3 +35,60 @@ def reconstruction_error(px: DataFrame, weight: float = 0.1) -> DataFrame:
     grad = F.abs(F.col("_px") - F.col("_tx")) + F.abs(F.col("_py") - F.col("_ty"))
     err = F.when(F.col("gt") > 0, F.abs(F.col("pred") - F.col("gt"))).otherwise(0.0) + F.when(F.col("_full") == 1, weight * grad).otherwise(0.0)
     return p.withColumn("err", err).drop("_t", "_ok", "_px", "_py", "_tx", "_ty", "_full")
+
+
+def step_medians(errors: DataFrame) -> DataFrame:
+    """Median over all frames and steps of each error, NaN ignored."""
+    from gridspark.operators.ordering import quantiles
+
+    out = None
+    for c in ("rise_abs", "rise_rel", "run_abs", "run_rel"):
+        q = quantiles(errors.select(c), [], c, [0.5], [c]).withColumn("_o", F.lit(1))
+        out = q if out is None else out.join(q, "_o")
+    return out.drop("_o")
+
+
+def plane_quality(regions: DataFrame, cam) -> DataFrame:
+    """Plane residuals and plane angles under each camera variant: median and 90th percentile.
+
+    ``regions`` holds the largest few regions per frame: ``(frame, kind, label, y, x, gt)``.
+    """
+    from gridspark.operators import geometry as G
+    from gridspark.operators.ordering import quantiles
+
+    p = G.camera_sweep(regions, cam)
+    planes = G.robust_planes(p, ["variant", "frame", "kind", "label"])
+    ang = G.plane_angles(planes, ["variant", "frame"], "kind", "label").select("variant", F.col("pair").alias("what"), F.col("angle").alias("value"))
+    tread = planes.where("kind = 'tread'")
+    rms = tread.select("variant", F.lit("rms_mm").alias("what"), (F.col("rms") * 1000.0).alias("value"))
+    rel = tread.select("variant", F.lit("rms_pct").alias("what"), (100.0 * F.col("rms") / F.col("mean_z")).alias("value"))
+    return quantiles(ang.unionByName(rms).unionByName(rel), ["variant", "what"], "value", [0.5, 0.9], ["p50", "p90"])
+
+
+def agreement(px: DataFrame, by, limits) -> DataFrame:
+    """Mask overlap, shares within the limits and median difference of ``z`` and ``gt``."""
+    from gridspark.operators.ordering import quantiles
+
+    both, either = (F.col("gt") > 0) & (F.col("z") > 0), (F.col("gt") > 0) | (F.col("z") > 0)
+    d = F.abs(F.col("z") - F.col("gt"))
+    g = px.groupBy(*by).agg((F.count_if(both) / F.greatest(F.count_if(either), F.lit(1))).alias("iou"),
+                            *[F.avg(F.when(both, (d <= lim).cast("double"))).alias(n) for n, lim in limits.items()])
+    q = quantiles(px.where(both).select(*by, d.alias("_d")), list(by), "_d", [0.5], ["median_abs"])
+    return g.join(q, list(by), "left")
+
+
+def alignment_sweep(px: DataFrame, depth_cam, rotation, translation, colour_cam, distortion, size, limits) -> DataFrame:
+    """Reproject under every direction x distortion x depth convention and compare with the reference map."""
+    from gridspark.operators import geometry as G
+
+    out = None
+    for direction in ("d2c", "c2d"):
+        for use in (False, True):
+            for mode in ("color", "depth"):
+                r = G.reproject(px, "gt", depth_cam, rotation, translation, colour_cam, size, direction, distortion if use else None, mode)
+                r = r.select(F.lit(direction).alias("direction"), F.lit(use).alias("use_dist"), F.lit(mode).alias("z_mode"), "frame", "y", "x", "z")
+                j = px.join(r, ["frame", "y", "x"], "left").select(
+                    F.lit(direction).alias("direction"), F.lit(use).alias("use_dist"), F.lit(mode).alias("z_mode"), "gt", F.coalesce("z", F.lit(0.0)).alias("z"))
+                out = j if out is None else out.unionByName(j)
+    names = dict(zip(("within_1", "within_2", "within_5"), limits))
+    return agreement(out, ["direction", "use_dist", "z_mode"], names)
