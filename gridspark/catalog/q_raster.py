@@ -128,7 +128,7 @@ def _(spark, sf):
 
 
 def stencil(src: str, r: int, aggs: str, h: str = "8", w: str = "8", border: str = "reflect") -> str:
-    iy, ix = ("least(greatest(p.y + dy, 0), h - 1)", "least(greatest(p.x + dx, 0), w - 1)") if border == "replicate" else (refl("p.y + dy", "h"), refl("p.x + dx", "w"))
+    iy, ix = ("least(greatest(p.y + dy, 0), h - 1)", "least(greatest(p.x + dx, 0), w - 1)") if border == "replicate" else (refl("p.y + dy", h), refl("p.x + dx", w))
     return f"""SELECT p.frame, p.y, p.x, {aggs} FROM {src} p, (SELECT unnest(range({-r}, {r + 1})) AS dy), (SELECT unnest(range({-r}, {r + 1})) AS dx)
    JOIN {src} q ON q.frame = p.frame AND q.y = {iy} AND q.x = {ix} GROUP BY p.frame, p.y, p.x"""
 

@@ -78,17 +78,32 @@ def agreement(px: DataFrame, by, limits) -> DataFrame:
 
 
 def alignment_sweep(px: DataFrame, depth_cam, rotation, translation, colour_cam, distortion, size, limits) -> DataFrame:
-    """Reproject under every direction x distortion x depth convention and compare with the reference map."""
+    """Reproject under every direction x distortion x depth convention and compare with the reference map.
+
+    The eight variants ride along as short arrays, so the pixels are read and
+    shuffled once.
+    """
     from gridspark.operators import geometry as G
 
-    out = None
-    for direction in ("d2c", "c2d"):
-        for use in (False, True):
-            for mode in ("color", "depth"):
-                r = G.reproject(px, "gt", depth_cam, rotation, translation, colour_cam, size, direction, distortion if use else None, mode)
-                r = r.select(F.lit(direction).alias("direction"), F.lit(use).alias("use_dist"), F.lit(mode).alias("z_mode"), "frame", "y", "x", "z")
-                j = px.join(r, ["frame", "y", "x"], "left").select(
-                    F.lit(direction).alias("direction"), F.lit(use).alias("use_dist"), F.lit(mode).alias("z_mode"), "gt", F.coalesce("z", F.lit(0.0)).alias("z"))
-                out = j if out is None else out.unionByName(j)
-    names = dict(zip(("within_1", "within_2", "within_5"), limits))
-    return agreement(out, ["direction", "use_dist", "z_mode"], names)
+    p = G.with_points(px.where("gt > 0"), "gt", depth_cam)
+    q = F.array(*[F.struct(F.lit(d).alias("direction"), *[c.alias(n) for n, c in zip(("qx", "qy", "qz"), G.rigid(rotation, translation, d))])
+                  for d in ("d2c", "c2d")])
+    p = p.select("frame", F.col("gt").alias("z0"), F.explode(q).alias("q")).select("frame", "z0", "q.*").where("qz > 1e-6")
+    p = p.select("frame", "z0", "direction", "qz", F.explode(F.array(F.struct((F.col("qx") / F.col("qz")).alias("u"), (F.col("qy") / F.col("qz")).alias("v")))).alias("k"))
+    xd, yd = G.distort(F.col("k.u"), F.col("k.v"), distortion)
+    uv = F.array(F.struct(F.lit(False).alias("use_dist"), F.col("k.u").alias("u"), F.col("k.v").alias("v")),
+                 F.struct(F.lit(True).alias("use_dist"), xd.alias("u"), yd.alias("v")))
+    p = p.select("frame", "z0", "direction", "qz", F.explode(uv).alias("t"))
+    fx, fy, cx, cy = colour_cam
+    h, w = size
+    p = p.select("frame", "z0", "direction", "qz", F.col("t.use_dist").alias("use_dist"), F.rint(fx * F.col("t.u") + cx).alias("_x"), F.rint(fy * F.col("t.v") + cy).alias("_y"))
+    p = p.where((F.col("_x") >= 0) & (F.col("_x") < w) & (F.col("_y") >= 0) & (F.col("_y") < h))
+    modes = F.array(F.struct(F.lit("color").alias("z_mode"), F.col("qz").alias("z")), F.struct(F.lit("depth").alias("z_mode"), F.col("z0").alias("z")))
+    p = p.select("frame", "direction", "use_dist", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), F.explode(modes).alias("m"))
+    by = ["direction", "use_dist", "z_mode"]
+    seen = p.groupBy("frame", "y", "x", "direction", "use_dist", F.col("m.z_mode").alias("z_mode")).agg(F.min("m.z").alias("z"))
+    every = F.array(*[F.struct(F.lit(a).alias("direction"), F.lit(b).alias("use_dist"), F.lit(c).alias("z_mode"))
+                      for a in ("d2c", "c2d") for b in (False, True) for c in ("color", "depth")])
+    ref = px.select("frame", "y", "x", "gt", F.explode(every).alias("v")).select("frame", "y", "x", "gt", "v.*")
+    j = ref.join(seen, ["frame", "y", "x", *by], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return agreement(j, by, dict(zip(("within_1", "within_2", "within_5"), limits)))
