@@ -107,3 +107,53 @@ def alignment_sweep(px: DataFrame, depth_cam, rotation, translation, colour_cam,
     ref = px.select("frame", "y", "x", "gt", F.explode(every).alias("v")).select("frame", "y", "x", "gt", "v.*")
     j = ref.join(seen, ["frame", "y", "x", *by], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
     return agreement(j, by, dict(zip(("within_1", "within_2", "within_5"), limits)))
+
+
+def predict(frames: DataFrame, fn, modality: str = "sparse") -> DataFrame:
+    """Run a user's predictor on packed frames in Arrow batches: adds ``pred``.
+
+    ``fn(depth_in) -> (h, w)`` gets one frame's input; a wrong shape or a
+    non-finite result fails the job.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    if modality not in ("sparse", "lr"):
+        raise ValueError(f"unknown modality {modality!r}")
+    schema = T.StructType([*[f for f in frames.schema.fields], T.StructField("pred", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            preds = []
+            for h, w, d in zip(b["h"], b["w"], b[modality]):
+                out = np.asarray(fn(np.asarray(d, dtype=float).reshape(h, w)), dtype=float)
+                if out.shape != (h, w):
+                    raise ValueError(f"predictor returned {out.shape}, expected {(h, w)}")
+                if not np.isfinite(out).all():
+                    raise ValueError("predictor returned non-finite depth")
+                preds.append(out.ravel())
+            yield b.assign(pred=pd.Series(preds, index=b.index))
+
+    return frames.mapInPandas(run, schema)
+
+
+def evaluate(px: DataFrame, cfg: M.MetricConfig, measured: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per-sample rows and the summary row, with the sensor-hole split when ``measured`` is given."""
+    rows = M.per_frame(px, cfg)
+    summary = M.image_pool(rows, cfg).withColumn("_o", F.lit(1))
+    if measured is not None:
+        reg = region_metrics(px, measured, cfg)
+        pick = lambda r, c: F.max(F.when(F.col("region") == r, F.col(c)))
+        wide = reg.agg(F.coalesce(pick("holes", "share"), F.lit(0.0)).alias("holes_frac"), *[
+            F.coalesce(pick(r, c), F.lit(float("nan"))).alias(f"{n}_{c}") for r, n in (("holes", "holes"), ("measured", "valid")) for c in ("absrel", "rmse", "delta1")])
+        summary = summary.join(wide.withColumn("_o", F.lit(1)), "_o")
+    return rows, summary.drop("_o")
+
+
+def zone_document(runs: DataFrame) -> DataFrame:
+    """Long zone metrics as one nested document per run and frame."""
+    zones = ("full", "stairs", "edge")
+    val = lambda z, m: F.max(F.when((F.col("zone") == z) & (F.col("metric") == m) & ~F.isnan("value"), F.col("value"))).alias(m)
+    doc = F.struct(*[F.struct(*[val(z, m) for m in ("absrel", "rmse", "delta1")]).alias(z) for z in zones])
+    return runs.groupBy("row_id", "frame").agg(doc.alias("doc"))
