@@ -243,13 +243,38 @@ def _plane_regions(spark, sf):
     return lab.join(top, [*by, "label"], "left_semi")
 
 
-@register("robust_plane_fit", "GEO-10")
+def planes_sql(src: str, keys: str, rounds: int = 3) -> str:
+    """Robust planes as CTE ``pln(keys, nx, ny, nz, rms, inlier, mean_z)``; the 3x3 eigenproblem in closed form."""
+    out = ""
+    for k in range(rounds):
+        pts = src if k == 0 else f"(SELECT s.* FROM {src} s JOIN fit{k-1} f USING ({keys}) WHERE abs((px-mx)*nx + (py-my)*ny + (pz-mz)*nz) < 3 * greatest(sqrt(lam), 1e-4))"
+        out += f"""cv{k} AS (SELECT {keys}, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz, var_pop(px) AS a, var_pop(py) AS b, var_pop(pz) AS c, covar_pop(px, py) AS d, covar_pop(px, pz) AS e, covar_pop(py, pz) AS f FROM {pts} GROUP BY {keys}),
+ ev{k} AS (SELECT *, q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((a-q)*((b-q)*(c-q) - f*f) - d*(d*(c-q) - f*e) + e*(d*f - (b-q)*e)) / (2 * p * p * p)))) / 3 + 2.0943951023931953::DOUBLE) AS l
+   FROM (SELECT *, sqrt((pow(a-q, 2) + pow(b-q, 2) + pow(c-q, 2) + 2*(d*d + e*e + f*f)) / 6) AS p FROM (SELECT *, (a + b + c) / 3 AS q FROM cv{k}))),
+ cr{k} AS (SELECT {keys}, mx, my, mz, greatest(l, 0.0::DOUBLE) AS lam, unnest([{{'x': d*f - e*(b-l), 'y': e*d - (a-l)*f, 'z': (a-l)*(b-l) - d*d}}, {{'x': d*(c-l) - e*f, 'y': e*e - (a-l)*(c-l), 'z': (a-l)*f - d*e}}, {{'x': (b-l)*(c-l) - f*f, 'y': f*e - d*(c-l), 'z': d*f - (b-l)*e}}]) AS v FROM ev{k}),
+ fit{k} AS (SELECT {keys}, mx, my, mz, lam, v.x / n * sg AS nx, v.y / n * sg AS ny, v.z / n * sg AS nz FROM (SELECT *, sqrt(v.x*v.x + v.y*v.y + v.z*v.z) AS n, CASE WHEN v.z > 0 THEN -1.0 ELSE 1.0 END AS sg, row_number() OVER (PARTITION BY {keys} ORDER BY v.x*v.x + v.y*v.y + v.z*v.z DESC) AS k FROM cr{k}) WHERE k = 1),
+ """
+    z = rounds - 1
+    return out + f"""pln AS (SELECT {keys}, nx, ny, nz, sqrt(avg(r * r) FILTER (abs(r) < 3 * greatest(sqrt(lam), 1e-4))) AS rms, avg((abs(r) < 3 * greatest(sqrt(lam), 1e-4))::INT) AS inlier, avg(pz) AS mean_z
+   FROM (SELECT s.*, nx, ny, nz, lam, (px-mx)*nx + (py-my)*ny + (pz-mz)*nz AS r FROM {src} s JOIN fit{z} USING ({keys})) GROUP BY {keys}, nx, ny, nz)"""
+
+
+PREG = f"""{P64}, msk AS (SELECT frame, CASE WHEN cls = 1 THEN 'tread' ELSE 'riser' END AS kind, y, x FROM pix WHERE gt > 0 AND cls > 0), {regions_sql('msk', 4, 'frame, kind')},
+ tp AS (SELECT frame, kind, label FROM (SELECT *, row_number() OVER (PARTITION BY frame, kind ORDER BY size DESC, label) AS k FROM (SELECT frame, kind, label, count(*) AS size FROM lab GROUP BY ALL HAVING count(*) >= 6)) WHERE k <= 4)"""
+
+
+@register("robust_plane_fit", "GEO-10", f"""WITH RECURSIVE {PREG}, pts AS (SELECT lab.frame, lab.kind, lab.label, (x-31.5)/60.0*gt AS px, (y-31.5)/60.0*gt AS py, gt AS pz FROM lab SEMI JOIN tp USING (frame, kind, label) JOIN pix USING (frame, y, x)),
+  {planes_sql('pts', 'frame, kind, label')} SELECT * FROM pln""", "nx ny nz rms inlier mean_z")
 def _(spark, sf):
     pts = G.with_points(_plane_regions(spark, sf), "gt", CAM64)
     return G.robust_planes(pts, ["frame", "kind", "label"])
 
 
-@register("plane_quality_by_camera", "AGG-43 JOIN-27")
+@register("plane_quality_by_camera", "AGG-43 JOIN-27", f"""WITH RECURSIVE {PREG}, vr AS (SELECT * FROM (VALUES ('K', 60.0, 60.0), ('f-10', 54.0, 54.0), ('f+10', 66.0, 66.0), ('fx+10', 66.0, 60.0)) t(variant, fx, fy)),
+  pts AS (SELECT variant, lab.frame, lab.kind, lab.label, (x-31.5)/fx*gt AS px, (y-31.5)/fy*gt AS py, gt AS pz FROM lab SEMI JOIN tp USING (frame, kind, label) JOIN pix USING (frame, y, x), vr), {planes_sql('pts', 'variant, frame, kind, label')},
+  pr AS (SELECT a.variant, b.kind, degrees(acos(least(1.0::DOUBLE, abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz)))) AS ang FROM pln a JOIN pln b ON a.variant = b.variant AND a.frame = b.frame AND a.kind = 'tread' AND (b.kind = 'riser' OR a.label < b.label)),
+  vl AS (SELECT variant, CASE WHEN kind = 'tread' THEN 'tread_tread' ELSE 'tread_riser' END AS what, CASE WHEN kind = 'tread' THEN ang ELSE abs(90 - ang) END AS v FROM pr UNION ALL SELECT variant, 'rms_mm', rms * 1000 FROM pln WHERE kind = 'tread' UNION ALL SELECT variant, 'rms_pct', 100 * rms / mean_z FROM pln WHERE kind = 'tread')
+  SELECT variant, what, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM vl GROUP BY ALL""", "p50 p90")
 def _(spark, sf):
     from gridspark.plans.evaluate import plane_quality
     return plane_quality(_plane_regions(spark, sf), CAM64)

@@ -231,11 +231,12 @@ def _(spark, sf):
     return K.run_document(log.select("pos", F.create_map(F.lit("model"), "method").alias("leaves")), log.select("pos", "experiment", "n_samples"), "pos")
 
 
-@register("split_list_documents", "SRC-28", """WITH d AS (SELECT source AS dataset, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, doc_id FROM documents)
-  SELECT dataset, split, '{"dataset":"' || dataset || '","split":"' || split || '","ids":[' || string_agg('"d' || doc_id || '"', ',' ORDER BY doc_id) || ']}' AS doc FROM d GROUP BY dataset, split""")
+@register("split_list_documents", "SRC-28", """WITH d AS (SELECT source AS dataset, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, doc_id FROM documents),
+  k AS (SELECT *, (row_number() OVER (PARTITION BY dataset, split ORDER BY doc_id) - 1) // 20 AS part FROM d)
+  SELECT dataset, split, part, '{"dataset":"' || dataset || '","split":"' || split || '","ids":[' || string_agg('"d' || doc_id || '"', ',' ORDER BY doc_id) || ']}' AS doc FROM k GROUP BY dataset, split, part""")
 def _(spark, sf):
     d = X.table(spark, sf, "documents").select(F.col("source").alias("dataset"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("doc_id").alias("pos"), F.concat(F.lit("d"), doc_text()).alias("sample_id"))
-    return K.split_list(d, "pos", "sample_id")
+    return K.split_list(d, "pos", "sample_id", 20)
 
 
 @register("latest_run_directory", "SRC-32", f"WITH {LOG}, m AS (SELECT experiment, max(stamp) AS stamp FROM log GROUP BY experiment) SELECT experiment, stamp, 'runs/' || stamp || '_' || experiment || '/per_sample.csv' AS path FROM m")

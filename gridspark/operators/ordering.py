@@ -63,21 +63,20 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column,
     ``last``, ``min``, ``max`` and ``sum`` look back, ``next`` looks ahead.
     """
     s = sliced(df.withColumn("_v", value), keys, order)
+    # "next" is "last" over the reversed order: a frame that reaches to the end
+    # of a partition would be summed up anew for every row
     ahead = how == "next"
     ordering = _order(order)
-    far = W.unboundedFollowing if ahead else W.unboundedPreceding
-    near = 0 if inclusive else (1 if ahead else -1)
-    frame = (near, far) if ahead else (far, near)
-    win = W.partitionBy(*keys, SLICE).orderBy(*ordering).rowsBetween(*frame)
-    run = {"last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.first(c, ignorenulls=True),
+    frame = (W.unboundedPreceding, 0 if inclusive else -1)
+    win = W.partitionBy(*keys, SLICE).orderBy(*[c.desc() if ahead else c for c in ordering]).rowsBetween(*frame)
+    run = {"last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.last(c, ignorenulls=True),
            "min": F.min, "max": F.max, "sum": F.sum}[how]
     tag = F.struct(*ordering)
     kept = F.col("_v").isNotNull()
     whole = {"last": F.max_by("_v", F.when(kept, tag)), "next": F.min_by("_v", F.when(kept, tag)),
              "min": F.min("_v"), "max": F.max("_v"), "sum": F.sum("_v")}[how]
     per = s.groupBy(*keys, SLICE).agg(whole.alias("_w"))
-    wide = W.partitionBy(*keys).orderBy(SLICE)
-    wide = wide.rowsBetween(1, W.unboundedFollowing) if ahead else wide.rowsBetween(W.unboundedPreceding, -1)
+    wide = W.partitionBy(*keys).orderBy(F.col(SLICE).desc() if ahead else F.col(SLICE)).rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("_carry", run(F.col("_w")).over(wide)).drop("_w")
     s = s.withColumn("_r", run(F.col("_v")).over(win))
     on = s[SLICE] == per[SLICE]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,15 +39,18 @@ def label_regions(px: DataFrame, mask: Column, by: Sequence[str] = ("frame",), c
     above = F.max(F.when(F.col("_real"), F.col("node"))).over(W.partitionBy(*by, "x").orderBy("y").rangeBetween(-1, -1))
     e = look.select(*by, "node", above.alias("other")).where("other is not null").distinct()
     e = cut(e.unionByName(e.select(*by, F.col("other").alias("node"), F.col("node").alias("other"))))
-    lab = m.select(*by, "node").distinct().withColumn("label", F.col("node")).withColumn("moved", F.lit(True))
+    lab = m.select(*by, "node").distinct().withColumn("label", F.col("node"))
     while True:
         near = e.join(lab.select(*by, F.col("node").alias("other"), "label"), [*by, "other"]).groupBy(*by, "node").agg(F.min("label").alias("_n"))
-        new = lab.drop("moved").join(near, [*by, "node"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("label", "_n").alias("_m"))
-        hop = new.select(*by, F.col("node").alias("_m"), F.col("_m").alias("_j"))
-        lab = cut(new.join(hop, [*by, "_m"]).select(*by, "node", F.col("_j").alias("label"), (F.col("_j") != F.col("_old")).alias("moved")))
-        if lab.where("moved").isEmpty():
+        new = lab.join(near, [*by, "node"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("label", "_n").alias("_m"))
+        hop = lab.select(*by, F.col("node").alias("_m"), F.col("label").alias("_j"))
+        new = new.join(hop, [*by, "_m"]).select(*by, "node", F.col("_j").alias("label"), (F.col("_j") != F.col("_old")).alias("moved"))
+        # the write itself counts the changes, so no second pass is needed
+        seen = Observation()
+        lab = cut(new.observe(seen, F.count_if("moved").alias("n"))).drop("moved")
+        if seen.get["n"] == 0:
             break
-    return m.join(lab.drop("moved"), [*by, "node"]).drop("node")
+    return m.join(lab, [*by, "node"]).drop("node")
 
 
 def region_sizes(labelled: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:

@@ -101,10 +101,10 @@ def _cross_ball(px: DataFrame, mask: str, r: int) -> DataFrame:
     Along x every pixel gets its distance to the row's nearest set pixel; along
     y the smallest ``|dy| + distance`` within r decides.
     """
-    w = R.line("x")
+    row = W.partitionBy("frame", "y")
     at = F.when(F.col(mask), F.col("x"))
-    left = F.col("x") - F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first(at, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("x")
+    left = F.col("x") - F.last(at, ignorenulls=True).over(row.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    right = F.last(at, ignorenulls=True).over(row.orderBy(F.col("x").desc()).rowsBetween(W.unboundedPreceding, 0)) - F.col("x")
     p = px.withColumn("_dx", F.least(left, right))
     up = F.min(F.col("_dx") - F.col("y")).over(R.line("y").rangeBetween(-r, 0)) + F.col("y")
     down = F.min(F.col("_dx") + F.col("y")).over(R.line("y").rangeBetween(0, r)) - F.col("y")

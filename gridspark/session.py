@@ -76,6 +76,11 @@ def clear_cuts(spark: SparkSession) -> int:
     return n
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting beyond that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
+
+    Counting stops just past the bound; beyond it the join shuffles both sides.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators.ordering import ranked
+
 # The columns of the results log, in order.
 SUMMARY_COLUMNS = (
     "timestamp", "experiment", "dataset", "split", "method", "checkpoint", "degradation", "seed", "device",
@@ -44,14 +46,16 @@ def run_document(config: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     return j.select(key, doc.alias("doc"))
 
 
-def split_list(rows: DataFrame, order: str, ident: str) -> DataFrame:
-    """``{dataset, split, ids}`` documents with ids in list order; an id list is what the file holds."""
-    g = rows.groupBy("dataset", "split").agg(F.sort_array(F.collect_list(F.struct(order, ident))).alias("_i"))
-    return g.select("dataset", "split", F.to_json(F.struct("dataset", "split", F.col("_i")[ident].alias("ids"))).alias("doc"))
+def split_list(rows: DataFrame, order: str, ident: str, part_size: int = 100_000) -> DataFrame:
+    """``{dataset, split, ids}`` documents with ids in list order, in numbered parts of bounded length."""
+    r = ranked(rows.select("dataset", "split", order, ident), ["dataset", "split"], [order, ident], "_k")
+    part = F.floor((F.col("_k") - 1) / part_size).alias("part")
+    g = r.groupBy("dataset", "split", part).agg(F.sort_array(F.collect_list(F.struct("_k", ident))).alias("_i"))
+    return g.select("dataset", "split", "part", F.to_json(F.struct("dataset", "split", F.col("_i")[ident].alias("ids"))).alias("doc"))
 
 
 def manifest(subset: DataFrame, seed: int) -> DataFrame:
-    """Seeds, counts and ids of a subset per split; subsets are n ids per split by construction."""
+    """Seeds, counts and ids of a subset per split; a subset holds n ids per split and round by construction."""
     return subset.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_ids"), F.lit(seed).alias("seed"),
         F.array_join(F.sort_array(F.collect_list("sample_id")), ",").alias("ids"))
