@@ -200,7 +200,7 @@ ZM = f"zm0 AS (SELECT frame, y, x, gt, {DISP} AS d FROM pix), zme AS (SELECT fra
 
 @register("disparity_noise", "AUG-06", f"WITH {P8}, {ZM} SELECT frame, y, x, z FROM zme", "z")
 def _(spark, sf):
-    return base8(spark, sf).select("frame", "y", "x", A.disparity_noise(F.col("gt"), FB, 0.08, 3, "0").alias("z"))
+    return A.disparity_noise(base8(spark, sf), FB, 0.08, 3, "0").select("frame", "y", "x", "z")
 
 
 OCC = """oc AS (SELECT frame, y, x, ok AND row_number() OVER (PARTITION BY frame, y, ok, CASE WHEN ok THEN t ELSE x END ORDER BY gt, x) > 1 AS occluded FROM (
@@ -227,7 +227,7 @@ FAT = f"""{EDG.format(thr=0.3)}, bnd AS (SELECT p.frame, p.y, p.x, bool_or(q.edg
 
 @register("edge_fattening", "AUG-08", f"WITH {P8}, {ZM}, {FAT} SELECT frame, y, x, z, lost FROM fat", "z")
 def _(spark, sf):
-    px = base8(spark, sf).withColumn("z", A.disparity_noise(F.col("gt"), FB, 0.08, 3, "0"))
+    px = A.disparity_noise(base8(spark, sf), FB, 0.08, 3, "0")
     return A.edge_fattening(px, "z", 1, "0", 0.35, 0.3).select("frame", "y", "x", "z", F.col("fat_lost").alias("lost"))
 
 
