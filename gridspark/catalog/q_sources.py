@@ -332,7 +332,7 @@ def _(spark, sf):
     e = _event_stream(spark, sf)
     h = F.substring(F.sha1(F.concat_ws("|", "event_type", F.col("user_id").cast("string"))), 1, 12)
     s = e.select(h.alias("config_hash"), F.struct(F.date_format("ts", "yyyyMMdd-HHmmss").alias("stamp"), F.col("event_id").alias("pos")).alias("at"), F.col("event_id").alias("pos"), (F.col("value") / 100.0).alias("absrel"))
-    return live.run_to_table(live.latest_per_hash(s, "config_hash", "at"), "complete").select("config_hash", "pos", "absrel")
+    return live.run_to_table(live.latest_per_hash(s, "config_hash", "at"), "config_hash").select("config_hash", "pos", "absrel")
 
 
 @register("stream_nearest_pairing", "STM-02", f"""WITH {STREAMS}, p AS (SELECT colour_no, depth_no, abs(c.stamp_us - d.stamp_us) AS gap_us FROM colour c JOIN depth d ON abs(c.stamp_us - d.stamp_us) <= 600000000)

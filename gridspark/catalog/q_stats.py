@@ -280,6 +280,22 @@ def _(spark, sf):
     return Q.floor_bicubic(lr, "lr", F.lit(8), F.lit(8), 0.5, 3.0)
 
 
+@register("floor_nearest_fill_packed", "BMK-15 RST-07", f"""WITH {P64}, s AS (SELECT frame, y, x, CASE WHEN conf > 0.7 THEN gt ELSE 0 END AS z FROM pix), f AS (SELECT a.frame, a.y, a.x, arg_min(b.z, ((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) * 10000 + b.y * 100 + b.x) AS p FROM s a JOIN s b ON a.frame = b.frame AND b.z > 0 AND abs(a.y-b.y) <= 20 AND abs(a.x-b.x) <= 20 WHERE a.z <= 0 GROUP BY ALL)
+  SELECT frame, y, x, least(greatest(CASE WHEN z > 0 THEN z ELSE coalesce(p, 1.75) END, 0.5::DOUBLE), 3.0::DOUBLE) AS pred FROM s LEFT JOIN f USING (frame, y, x)""", "pred")
+def _(spark, sf):
+    from gridspark.layouts import frames_to_pixels, pixels_to_frames
+    px = X.pixels64(spark, sf).select("frame", "y", "x", F.when(F.col("conf") > 0.7, F.col("gt")).otherwise(0.0).alias("z"))
+    return frames_to_pixels(Q.floor_nearest_packed(pixels_to_frames(px, ["z"]), "z", 0.5, 3.0), ["pred"]).select("frame", "y", "x", "pred")
+
+
+@register("floor_bicubic_packed", "BMK-16 RST-03", f"""WITH {P8}, {bicubic_w('wq', 8, 16)} SELECT frame, y, x, least(greatest(v, 0.5::DOUBLE), 3.0::DOUBLE) AS pred FROM {sep('pix', 'gt', 'wq', 'wq')}""", "pred")
+def _(spark, sf):
+    from gridspark.catalog.fixtures import frames8
+    from gridspark.layouts import frames_to_pixels
+    f = Q.floor_bicubic_packed(frames8(spark, sf).select("frame", "h", "w", "gt"), "gt", F.lit(16), F.lit(16), 0.5, 3.0)
+    return frames_to_pixels(f, ["pred"]).select("frame", "y", "x", "pred")
+
+
 @register("display_percentile_range", "SCL-28", f"WITH {P8} SELECT grp, quantile_cont(gt, 0.02) AS lo, quantile_cont(gt, 0.98) AS hi FROM pix WHERE gt > 0 GROUP BY grp", "lo hi")
 def _(spark, sf):
     return ST.display_range(X.pixels8(spark, sf).where("gt > 0").select("grp", "gt"), ["grp"], "gt")

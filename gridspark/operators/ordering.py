@@ -111,7 +111,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     lists = wanted.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_pos", "_at")).alias("_w")) if keys else \
         wanted.agg(F.collect_list(F.struct("_i", "_pos", "_at")).alias("_w"))
     if keys:
-        joined = slots.join(lists, keys, "inner")
+        on = F.lit(True)
+        for k in keys:  # a NULL key is a group too
+            on = on & slots[k].eqNullSafe(lists[k])
+        joined = slots.join(lists, on, "inner").select(*[slots[c] for c in slots.columns], lists["_w"])
     else:
         joined = slots.withColumn("_one", F.lit(1)).join(
             F.broadcast(lists.withColumn("_one", F.lit(1))), "_one", "inner")

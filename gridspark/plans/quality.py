@@ -85,6 +85,16 @@ def floor_bicubic(lr: DataFrame, value: str, out_h: Column, out_w: Column, lo: f
     return p.withColumn("pred", F.least(F.greatest("pred", F.lit(lo)), F.lit(hi)))
 
 
+def floor_nearest_packed(frames: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
+    """The nearest-fill floor on packed frames: one pass, no shuffle. Adds ``pred``."""
+    return R.fill_nearest_packed(frames.withColumn("pred", F.col(value)), "pred", 0.5 * (lo + hi), lo, hi)
+
+
+def floor_bicubic_packed(frames: DataFrame, value: str, out_h: Column, out_w: Column, lo: float, hi: float) -> DataFrame:
+    """The bicubic floor on packed low-resolution frames. Adds ``pred`` and rewrites ``h``, ``w``."""
+    return R.resize_packed(frames.withColumn("pred", F.col(value)), "pred", out_h, out_w, "bicubic", lo, hi)
+
+
 def local_calibration(px: DataFrame, rel: str, anchor: str, lo: float, hi: float, min_pixels: int = 10, smooth: str = "bilateral", sigma: float = 15.0,
                       sigma_spatial: float = 6.0, range_scale: float = 0.25, max_radius: int = 10) -> DataFrame:
     """Fit a relative map to sparse anchors per segment, smooth the fit, apply and clip.

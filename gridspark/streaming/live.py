@@ -21,27 +21,28 @@ def latest_per_hash(stream: DataFrame, key: str, order: str) -> DataFrame:
     return g.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, key: str | None = None) -> DataFrame:
     """Drain what is available into a stored table and read it back.
 
-    In complete mode each micro-batch writes the whole result under its own
-    number, so a replayed batch overwrites itself and the last one is read.
+    Without ``key`` rows are appended. With it the stream runs in update mode:
+    each micro-batch stores only the keys it changed, under its own number (a
+    replayed batch overwrites itself), and reading takes a key's newest batch.
     """
     spark = stream.sparkSession
     out, state = _place(spark, "stream"), _place(spark, "state")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
+    w = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    if key is None:
+        w.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    last = {}
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        last["n"] = number
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/{last['n']}")
+    w.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    rest = [c for c in stream.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def pair_streams(left: DataFrame, right: DataFrame, ts: str, left_id: str, right_id: str, tolerance_s: int) -> DataFrame:
