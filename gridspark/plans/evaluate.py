@@ -41,11 +41,10 @@ def step_medians(errors: DataFrame) -> DataFrame:
     """Median over all frames and steps of each error, NaN ignored."""
     from gridspark.operators.ordering import quantiles
 
-    out = None
-    for c in ("rise_abs", "rise_rel", "run_abs", "run_rel"):
-        q = quantiles(errors.select(c), [], c, [0.5], [c]).withColumn("_o", F.lit(1))
-        out = q if out is None else out.join(q, "_o")
-    return out.drop("_o")
+    names = ("rise_abs", "rise_rel", "run_abs", "run_rel")
+    rows = errors.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in names])).alias("e")).select("e.*")
+    q = quantiles(rows, ["what"], "v", [0.5], ["m"])
+    return q.agg(*[F.max(F.when(F.col("what") == c, F.col("m"))).alias(c) for c in names])
 
 
 def plane_quality(regions: DataFrame, cam) -> DataFrame:
