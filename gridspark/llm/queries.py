@@ -32,3 +32,10 @@ def op10(spark, sf_dir):
     docs = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
     q = [F.round(f"quality_.{c}", 6).alias(c) for c in ("good", "toxic", "text_good", "text_toxic", "host_good", "host_toxic")]
     return docs.filter("quality_.keep").select("doc_id", "source", "lang", *q, F.col("quality_.keep").alias("keep"))
+
+
+@query("op4_ngram_jaccard")
+def op4(spark, sf_dir):
+    from gridspark.llm.ngram_join import classes
+
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
