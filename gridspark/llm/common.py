@@ -2,7 +2,7 @@
 
 Texts arrive as Arrow string arrays. Their bytes lie in one buffer, so words,
 shingles and sentences of a block of documents are found and hashed by NumPy in
-a few passes, with no Python object per word. A block holds about four megabytes
+a few passes, with no Python object per word. A block holds about one megabyte
 or one document, whichever is more; memory follows the longest text.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ STEM = 4  # bytes of a word's beginning
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 12_000  # most labelled documents that the model is fitted on
+    sample: int = 8_000  # most labelled documents that the model is fitted on
     min_docs: int = 12  # labelled documents a word must be in
     z: float = 6.0  # evidence that a word's rates differ, in standard errors
     lift: float = 8.0  # ratio by which they differ at least

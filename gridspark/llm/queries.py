@@ -39,3 +39,34 @@ def op4(spark, sf_dir):
     from gridspark.llm.ngram_join import classes
 
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf_dir):
+    from gridspark.llm.spans import dedup
+
+    docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes")))
+    return docs.select(
+        "doc_id", F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), F.col("cut_.n_removed").alias("n_removed"),
+        F.size("cut_.spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark, sf_dir):
+    from gridspark.llm.tiling import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "n_tiles", "n_covered", F.round(F.col("n_covered") / F.col("n_tokens"), 6).alias("coverage"))
+
+
+@query("op7_byte_level_bpe")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    from gridspark.llm.bpe import decode, encode
+
+    where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where), *where)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
