@@ -77,7 +77,7 @@ class Block:
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The array cut at document borders; a null is an empty text."""
+    """The array cut at document borders, at each one for a limit of 0; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     wide = texts.cast(pa.large_binary()).fill_null(b"")
@@ -88,7 +88,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(wide):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1) if limit else i + 1
         yield Block(i, data[ends[i]:ends[j]], ends[i:j + 1] - ends[i])
         i = j
 

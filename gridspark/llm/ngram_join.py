@@ -12,8 +12,9 @@ its one-deletion neighbourhood (value 2); where even that is too little, every s
 
 Signatures travel packed, one row per batch and bucket. Sets that meet are compared
 with the least set of their meeting point first; once these links have formed
-components, only pairs across components are left to compare. Every link is verified
-on the full sets of 64-bit shingle hashes. Equal sets are one set throughout.
+components, only pairs across components are left to compare. Pairs whose
+sizes or parity bitmaps show too large a difference go first; every link is verified on the
+full sets of 64-bit shingle hashes. Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -76,6 +77,27 @@ def set_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.where(sizes > 0, mix((total[bounds[1:]] - total[bounds[:-1]]) + sizes.astype(U) * U(0x9E3779B97F4A7C15)) >> U(1), U(0)).astype(np.int64)
 
 
+def parity(members: np.ndarray, s: Settings) -> bytes:
+    """Which cells hold an odd number of the set's shingles.
+
+    Two sets differ in at least as many shingles as their parities in cells, however far both are
+    folded. About four cells for each shingle that may differ tell most other pairs apart.
+    """
+    cells = 64
+    while cells < 4 * differ(len(members), len(members), s.num, s.den):
+        cells *= 2
+    odd = np.bincount((mix(members ^ U(0x0F0F0F0F0F0F0F0F)) & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Cells in which two parities differ, the larger one folded to the size of the smaller."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.bitwise_count(p ^ np.bitwise_xor.reduce(q.reshape(-1, len(p)), 0)).sum())
+
+
 @lru_cache
 def band_edges(num: int, den: int, top: int = 1 << 40) -> np.ndarray:
     edges = [1]
@@ -172,7 +194,7 @@ def _every(members: np.ndarray, s: Settings) -> np.ndarray:
 
 def _emit(buckets: int, s: Settings, common: np.ndarray):
     bits = int(buckets).bit_length() - 1
-    names = ["bucket", "sigs", "sids", "ids", "sizes"]
+    names = ["bucket", "sigs", "sids", "ids", "sizes", "parities"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +203,14 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
                 sids, sizes = set_ids(flat, at), np.diff(at)
                 ids = batch.column(0).slice(b.first, len(b))
                 sigs, owner = [], []
+                bits_of: list = [None] * len(b)
                 for i in np.unique(sids, return_index=True)[1]:  # equal sets of a block are indexed once
                     if sids[i]:
                         x = signatures(flat[at[i]: at[i + 1]], s, common)
                         sigs.append(x)
                         owner.append(np.full(len(x), sids[i]))
-                rows: list[tuple] = [(int(abs(int(sids.sum()))) % buckets, None, sids.tobytes(), ids.to_pylist(), sizes.tobytes())]
+                        bits_of[i] = parity(flat[at[i]: at[i + 1]], s)
+                rows: list[tuple] = [(int(abs(int(sids.sum()))) % buckets, None, sids.tobytes(), ids.to_pylist(), sizes.tobytes(), bits_of)]
                 if sigs:
                     sig, own = np.concatenate(sigs), np.concatenate(owner)
                     order = np.argsort(sig)
@@ -194,31 +218,32 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
                     to = (sig >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
                     cuts = np.searchsorted(to, np.arange(buckets + 1))
                     low = ((sig << U(bits)) >> U(32)).astype(np.uint32)
-                    rows += [(k, low[x:y].tobytes(), own[x:y].tobytes(), None, None) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                    rows += [(k, low[x:y].tobytes(), own[x:y].tobytes(), None, None, None) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()),
-                    pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names)
+                    pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.binary()))], names)
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: documents (kind 0: id, set, size), pairs to verify (kind 1) and meeting points of three or more (kind 2)."""
-    kind, a, b, n = [], [], [], []
+    kind, a, b, n, bits = [], [], [], [], []
 
-    def add(k: int, x, y, z) -> None:
+    def add(k: int, x, y, z, p=None) -> None:
         kind.append(np.full(len(y), k, np.int32))
         a.append(x if isinstance(x, pa.Array) else pa.array(x, pa.int64()))
         b.append(y)
         n.append(z)
+        bits.append(pa.array(p, pa.binary()) if p else pa.nulls(len(y), pa.binary()))
 
     bucket = table.column("bucket")[0].as_py()
     blob = {c: table.column(c).to_pylist() for c in ("sigs", "sids", "sizes")}
     for i, sizes in enumerate(blob["sizes"]):
         if sizes is not None:
             sids = np.frombuffer(blob["sids"][i], np.int64)
-            add(0, pa.array(table.column("ids")[i].as_py(), pa.int64()), sids, np.frombuffer(sizes, np.int64))
+            add(0, pa.array(table.column("ids")[i].as_py(), pa.int64()), sids, np.frombuffer(sizes, np.int64), table.column("parities")[i].as_py())
     has = [i for i, x in enumerate(blob["sigs"]) if x is not None]
     if has:
         sig = np.concatenate([np.frombuffer(blob["sigs"][i], np.uint32) for i in has])
@@ -247,7 +272,8 @@ def _meet(table: pa.Table) -> pa.Table:
             add(2, (np.int64(bucket) << 32) | sig[wide].astype(np.int64), sid[wide], np.zeros(int(wide.sum()), np.int64))
     return pa.table({
         "kind": pa.array(np.concatenate(kind) if kind else [], pa.int32()), "a": pa.chunked_array(a, pa.int64()),
-        "b": pa.array(np.concatenate(b) if b else [], pa.int64()), "n": pa.array(np.concatenate(n) if n else [], pa.int64())})
+        "b": pa.array(np.concatenate(b) if b else [], pa.int64()), "n": pa.array(np.concatenate(n) if n else [], pa.int64()),
+        "bits": pa.chunked_array(bits, pa.binary())})
 
 
 def _sets(s: Settings):
@@ -262,6 +288,16 @@ def _sets(s: Settings):
     return run
 
 
+def _likely(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = [apart(x, y) <= differ(int(a), int(b), s.num, s.den) for a, b, x, y in zip(*sizes, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,34 +331,40 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFra
     total = documents.count()
     buckets = 1 << max(4, (total // s.docs_per_bucket).bit_length())
     common = _common(documents, total, s)
-    packed = documents.mapInArrow(_emit(buckets, s, common), "bucket int, sigs binary, sids binary, ids array<long>, sizes binary")
-    met = cut(packed.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, n long"))
+    packed = documents.mapInArrow(_emit(buckets, s, common), "bucket int, sigs binary, sids binary, ids array<long>, sizes binary, parities array<binary>")
+    met = cut(packed.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, n long, bits binary"))
     sets = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n").alias("n_shingles"))
     stars = cut(met.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     points = met.filter("kind = 2").select(F.col("a").alias("point"), F.col("b").alias("sid"))
 
-    wanted = stars.select(F.col("u").alias("sid")).union(stars.select(F.col("v").alias("sid"))).union(points.select("sid")).distinct()
-    one = sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    one = cut(one)
-    if one.count() <= s.small:
-        one = F.broadcast(one)
-    texts = documents.join(one.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    members = cut(texts.mapInArrow(_sets(s), "sid long, members binary").dropDuplicates(["sid"]))
+    marks = cut(met.filter("kind = 0 and bits is not null").groupBy("b").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).withColumnRenamed("b", "sid"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = members.select(F.col("sid").alias("u"), F.col("members").alias("x"), F.length("members").alias("nx"))
-        y = members.select(F.col("sid").alias("v"), F.col("members").alias("y"), F.length("members").alias("ny"))
-        sized = pairs.join(x.select("u", "nx"), "u").join(y.select("v", "ny"), "v")
-        sized = sized.filter(F.least("nx", "ny") * s.den >= F.greatest("nx", "ny") * s.num).select("u", "v")
-        return sized.join(y.select("v", "y"), "v").join(x.select("u", "x"), "u").select("u", "v", "x", "y").mapInArrow(_verify(s), "u long, v long")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and parities leave open."""
+        x = marks.select(F.col("sid").alias("u"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+        y = marks.select(F.col("sid").alias("v"), F.col("n").alias("ny"), F.col("bits").alias("y"))
+        sized = pairs.join(x, "u").join(y, "v").filter(F.least("nx", "ny") * s.den >= F.greatest("nx", "ny") * s.num)
+        return sized.select("u", "v", "nx", "ny", "x", "y").mapInArrow(_likely(s), "u long, v long")
 
-    first = cut(verified(stars))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select(F.col("v").alias("sid"))).distinct()
+        one = cut(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
+        if one.count() <= s.small:
+            one = F.broadcast(one)
+        texts = documents.join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+        members = texts.mapInArrow(_sets(s), "sid long, members binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+        members = cut(members)
+        x = members.select(F.col("sid").alias("u"), F.col("members").alias("x"))
+        y = members.select(F.col("sid").alias("v"), F.col("members").alias("y"))
+        return pairs.join(y, "v").join(x, "u").select("u", "v", "x", "y").mapInArrow(_verify(s), "u long, v long")
+
+    first = cut(verified(cut(likely(stars))))
     label = components(first)
     known = points.join(label.withColumnRenamed("u", "sid"), "sid", "left").select("point", "sid", F.coalesce("v", "sid").alias("part"))
     split = known.groupBy("point").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("point")
     rest = known.join(split, "point", "left_semi")
     pairs = rest.alias("p").join(rest.alias("q"), "point").filter("p.sid < q.sid and p.part <> q.part").select(F.col("p.sid").alias("u"), F.col("q.sid").alias("v")).distinct()
-    pairs = cut(pairs.join(stars, ["u", "v"], "left_anti"))
+    pairs = cut(likely(pairs.join(stars, ["u", "v"], "left_anti")))
     links = cut(verified(pairs).union(first))
     return sets, links
 

@@ -84,7 +84,7 @@ def _cut(s: Settings):
     @F.arrow_udf("text string, n_removed long, spans array<struct<start: long, end: long>>")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
         out, lost, found = [], [], []
-        for b in blocks(texts, 1):
+        for b in blocks(texts, 0):
             at = places[b.first].as_py() if places[b.first].is_valid else None
             if not at:
                 out.append(texts[b.first].as_py())
