@@ -70,3 +70,46 @@ def op7(spark, sf_dir):
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_histogram_sharding")
+def op3(spark, sf_dir):
+    from gridspark.llm.sharding import shard
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return shard(docs, "size").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_chat_format", """
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, lag(role) OVER o IS DISTINCT FROM role AS opens,
+        length(regexp_replace(regexp_replace(replace(text, '&', '&amp;'), '<(/?s>)', '&lt;\\1', 'g'), '\\[((/?INST|TURN)\\])', '&lsqb;\\1', 'g')) AS n_text,
+        length(regexp_replace(regexp_replace(replace(role, '&', '&amp;'), '<(/?s>)', '&lt;\\1', 'g'), '\\[((/?INST|TURN)\\])', '&lsqb;\\1', 'g')) AS n_role
+    FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n_text + CASE WHEN opens THEN n_role + 20 ELSE 6 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op1(spark, sf_dir):
+    from gridspark.llm.chat import format_chats, read_back, unescape
+
+    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+    back = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), unescape(F.array_join(F.transform(
+        F.filter("pieces", lambda p: p["loss"]), lambda p: p["text"]), "")).alias("loss"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
