@@ -194,14 +194,14 @@ def _every(members: np.ndarray, s: Settings) -> np.ndarray:
 
 def _emit(buckets: int, s: Settings, common: np.ndarray):
     bits = int(buckets).bit_length() - 1
-    names = ["bucket", "sigs", "sids", "ids", "sizes", "parities"]
+    names = ["bucket", "sigs", "sids", "ids", "tks", "sizes", "parities"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(2)):
                 flat, at = shingle_sets(b, s.n)
                 sids, sizes = set_ids(flat, at), np.diff(at)
-                ids = batch.column(0).slice(b.first, len(b))
+                ids, tks = (batch.column(k).slice(b.first, len(b)).to_pylist() for k in (0, 1))
                 sigs, owner = [], []
                 bits_of: list = [None] * len(b)
                 for i in np.unique(sids, return_index=True)[1]:  # equal sets of a block are indexed once
@@ -210,7 +210,7 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
                         sigs.append(x)
                         owner.append(np.full(len(x), sids[i]))
                         bits_of[i] = parity(flat[at[i]: at[i + 1]], s)
-                rows: list[tuple] = [(int(abs(int(sids.sum()))) % buckets, None, sids.tobytes(), ids.to_pylist(), sizes.tobytes(), bits_of)]
+                rows: list[tuple] = [(int(abs(int(sids.sum()))) % buckets, None, sids.tobytes(), ids, tks, sizes.tobytes(), bits_of)]
                 if sigs:
                     sig, own = np.concatenate(sigs), np.concatenate(owner)
                     order = np.argsort(sig)
@@ -218,24 +218,25 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
                     to = (sig >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
                     cuts = np.searchsorted(to, np.arange(buckets + 1))
                     low = ((sig << U(bits)) >> U(32)).astype(np.uint32)
-                    rows += [(k, low[x:y].tobytes(), own[x:y].tobytes(), None, None, None) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                    rows += [(k, low[x:y].tobytes(), own[x:y].tobytes(), None, None, None, None) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()),
-                    pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.binary()))], names)
+                    pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.list_(pa.binary()))], names)
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: documents (kind 0: id, set, size), pairs to verify (kind 1) and meeting points of three or more (kind 2)."""
-    kind, a, b, n, bits = [], [], [], [], []
+    kind, a, b, n, tk, bits = [], [], [], [], [], []
 
-    def add(k: int, x, y, z, p=None) -> None:
+    def add(k: int, x, y, z, t=None, p=None) -> None:
         kind.append(np.full(len(y), k, np.int32))
         a.append(x if isinstance(x, pa.Array) else pa.array(x, pa.int64()))
         b.append(y)
         n.append(z)
+        tk.append(pa.array(t, pa.int64()) if t else pa.nulls(len(y), pa.int64()))
         bits.append(pa.array(p, pa.binary()) if p else pa.nulls(len(y), pa.binary()))
 
     bucket = table.column("bucket")[0].as_py()
@@ -243,7 +244,7 @@ def _meet(table: pa.Table) -> pa.Table:
     for i, sizes in enumerate(blob["sizes"]):
         if sizes is not None:
             sids = np.frombuffer(blob["sids"][i], np.int64)
-            add(0, pa.array(table.column("ids")[i].as_py(), pa.int64()), sids, np.frombuffer(sizes, np.int64), table.column("parities")[i].as_py())
+            add(0, pa.array(table.column("ids")[i].as_py(), pa.int64()), sids, np.frombuffer(sizes, np.int64), table.column("tks")[i].as_py(), table.column("parities")[i].as_py())
     has = [i for i, x in enumerate(blob["sigs"]) if x is not None]
     if has:
         sig = np.concatenate([np.frombuffer(blob["sigs"][i], np.uint32) for i in has])
@@ -273,7 +274,7 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({
         "kind": pa.array(np.concatenate(kind) if kind else [], pa.int32()), "a": pa.chunked_array(a, pa.int64()),
         "b": pa.array(np.concatenate(b) if b else [], pa.int64()), "n": pa.array(np.concatenate(n) if n else [], pa.int64()),
-        "bits": pa.chunked_array(bits, pa.binary())})
+        "tk": pa.chunked_array(tk, pa.int64()), "bits": pa.chunked_array(bits, pa.binary())})
 
 
 def _sets(s: Settings):
@@ -320,20 +321,20 @@ def _verify(s: Settings):
 def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """``documents`` (doc_id long, text) -> (sets, links), both stored.
 
-    ``sets``: doc_id, sid, n_shingles, one row per row of ``documents``; sid names the set, equal
+    ``sets``: doc_id, tk (hash of the text), sid, n_shingles, one row per row of ``documents``; sid names the set, equal
     sets have equal sids, 0 is the empty set (null, empty or blank text), which links with nothing.
     ``links``: u, v, verified links between different sets that hold all their components together:
     of the pairs inside a component that is joined already, not each one is compared.
     """
     s = settings
     spark = documents.sparkSession
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     total = documents.count()
     buckets = 1 << max(4, (total // s.docs_per_bucket).bit_length())
     common = _common(documents, total, s)
-    packed = documents.mapInArrow(_emit(buckets, s, common), "bucket int, sigs binary, sids binary, ids array<long>, sizes binary, parities array<binary>")
-    met = cut(packed.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, n long, bits binary"))
-    sets = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n").alias("n_shingles"))
+    packed = documents.mapInArrow(_emit(buckets, s, common), "bucket int, sigs binary, sids binary, ids array<long>, tks array<long>, sizes binary, parities array<binary>")
+    met = cut(packed.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, n long, tk long, bits binary"))
+    sets = met.filter("kind = 0").select(F.col("a").alias("doc_id"), "tk", F.col("b").alias("sid"), F.col("n").alias("n_shingles"))
     stars = cut(met.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     points = met.filter("kind = 2").select(F.col("a").alias("point"), F.col("b").alias("sid"))
 
@@ -370,14 +371,31 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFra
 
 
 def classes(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, sid, n_shingles, component_id for every row of ``documents``.
+    """doc_id, tk, sid, n_shingles, part, component_id for every row of ``documents``.
 
     component_id is the smallest doc_id of the component (null if all ids in it are null); a
     document without words is its own component. Rows that repeat an id get one row each.
     """
     sets, links = join(documents, settings)
     label = components(links)
-    named = sets.join(label.withColumnRenamed("u", "sid"), "sid", "left").select("doc_id", "sid", "n_shingles", F.coalesce("v", "sid").alias("part"))
+    named = sets.join(label.withColumnRenamed("u", "sid"), "sid", "left").select("doc_id", "tk", "sid", "n_shingles", F.coalesce("v", "sid").alias("part"))
     least = named.filter("sid <> 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "part", "left").select(
-        "doc_id", "sid", "n_shingles", F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "tk", "sid", "n_shingles", "part", F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``documents`` with one row of each component: that of the least (doc_id, tk), null ids last.
+
+    Rows without words stay. Of rows that agree in id and text one stays, whichever it is.
+    """
+    named = cut(classes(documents, settings).filter("sid <> 0").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("tk").alias("_tk"), "part"))
+    first = named.groupBy("part").agg(F.min(F.struct("_id", "_tk")).alias("lo"))
+    rest = cut(named.join(first, "part").filter("struct(_id, _tk) <> lo").select("_id", "_tk").distinct())
+    twice = cut(named.groupBy("_id", "_tk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_tk"))
+    rest, twice = (F.broadcast(x) if x.count() <= settings.small // 4 else x for x in (rest, twice))
+    keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("tk")))
+    same = (F.col("_key.id") == F.col("_id")) & (F.col("_key.tk") == F.col("_tk"))
+    left = keyed.join(rest, same, "left_anti")
+    single, several = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi").dropDuplicates(["_key"])
+    return single.union(several).select(documents.columns)

@@ -113,3 +113,22 @@ def op1(spark, sf_dir):
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    from gridspark.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    at = F.transform("bases", lambda b: b["at"])
+    return found.select(
+        "doc_id", "n_words", F.size("bases").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("bases", lambda b: b["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query("op8_nearest_neighbours")
+def op8(spark, sf_dir):
+    from gridspark.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
