@@ -50,15 +50,16 @@ MARKS = np.ones(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     MARKS[_a:_b] = False
 
-_powers = np.ones(1, U)
+_powers = {False: np.ones(1, U), True: np.ones(1, U)}
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first ``n`` powers of an odd word, or of its inverse."""
+    if len(_powers[inverse]) < n:
+        step = U(pow(int(_ODD), -1, 1 << 64)) if inverse else _ODD
         with np.errstate(over="ignore"):
-            _powers = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(n, 1024) - 1, _ODD)]))
-    return _powers[:n]
+            _powers[inverse] = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(n, 1024) - 1, step)]))
+    return _powers[inverse][:n]
 
 
 @dataclass

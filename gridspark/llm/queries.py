@@ -132,3 +132,11 @@ def op8(spark, sf_dir):
     from gridspark.llm.ann import search
 
     return search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark, sf_dir):
+    from gridspark.llm.suffix import dedup
+
+    docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "cut_.n_bytes", "cut_.n_removed", "cut_.n_spans", F.sha2("cut_.kept", 256).alias("kept_sha256"))
