@@ -38,7 +38,7 @@ class Settings:
     n: int = 5  # words a shingle
     num: int = 75  # linked if den * |intersection| >= num * |union|
     den: int = 100
-    sample: int = 4_000  # documents whose signatures set the costs
+    sample: int = 8_000  # documents whose signatures set the costs
     common: int = 65_536  # most signatures with a known cost
     docs_per_bucket: int = 1_024
     small: int = 500_000  # rows (of 8 bytes) up to which a list of ids is sent to all tasks
@@ -171,7 +171,7 @@ def _common(documents: DataFrame, total: int, s: Settings) -> np.ndarray:
     if total <= 0:
         return np.zeros(0, U)
     part = documents.select("text").sample(min(1.0, s.sample / total), 7) if total > s.sample else documents.select("text")
-    seen = part.mapInArrow(count, "sig long, sid long").distinct().groupBy("sig").count().filter("count >= 8")
+    seen = part.mapInArrow(count, "sig long, sid long").distinct().groupBy("sig").count().filter("count >= 4")
     rows = seen.orderBy(F.desc("count"), "sig").limit(s.common).select("sig").toArrow()["sig"].to_numpy()
     return np.sort(rows.view(U))
 
@@ -299,6 +299,36 @@ def _likely(s: Settings):
     return run
 
 
+def _across(s: Settings):
+    """Pairs of one meeting point and of two components that sizes and parities leave open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        point, sid, part, n = (table[c].to_numpy() for c in ("point", "sid", "part", "n"))
+        bits = table["bits"].to_pylist()
+        order = np.lexsort((sid, point))
+        first = np.flatnonzero(np.concatenate([[True], point[order][1:] != point[order][:-1]]))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for o in np.split(order, first[1:]):
+            width = min(len(bits[i]) for i in o)
+            cells = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint8).reshape(-1, width), 0) for i in o]).view(np.uint64)
+            size, of, name = n[o], part[o], sid[o]
+            # A small group is compared at once, a large one row by row.
+            step = len(o) if len(o) <= 128 else 1
+            for i in range(0, len(o) - 1, step):
+                x, y = np.triu_indices(len(o), 1) if step > 1 else (np.full(len(o) - 1 - i, i), np.arange(i + 1, len(o)))
+                ok = np.flatnonzero((of[x] != of[y]) & (np.minimum(size[x], size[y]) * s.den >= np.maximum(size[x], size[y]) * s.num))
+                if len(ok):
+                    x, y = x[ok], y[ok]
+                    most = (size[x] + size[y]) * (s.den - s.num) // (s.den + s.num)
+                    ok = np.bitwise_count(cells[x] ^ cells[y]).sum(1, dtype=np.int64) <= most
+                    us.append(name[x[ok]])
+                    vs.append(name[y[ok]])
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+
+    return run
+
+
 def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,8 +394,10 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFra
     known = points.join(label.withColumnRenamed("u", "sid"), "sid", "left").select("point", "sid", F.coalesce("v", "sid").alias("part"))
     split = known.groupBy("point").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("point")
     rest = known.join(split, "point", "left_semi")
-    pairs = rest.alias("p").join(rest.alias("q"), "point").filter("p.sid < q.sid and p.part <> q.part").select(F.col("p.sid").alias("u"), F.col("q.sid").alias("v")).distinct()
-    pairs = cut(likely(pairs.join(stars, ["u", "v"], "left_anti")))
+    # Open pairs are told apart where their members meet, so that none travels that sizes and parities rule out.
+    met_with = rest.join(marks, "sid").select((F.xxhash64("point") % buckets).alias("deal"), "point", "sid", "part", "n", "bits")
+    open_ = met_with.groupBy("deal").applyInArrow(_across(s), "u long, v long").distinct()
+    pairs = cut(open_.join(stars, ["u", "v"], "left_anti"))
     links = cut(verified(pairs).union(first))
     return sets, links
 
