@@ -195,3 +195,21 @@ def n_sql(*key: str) -> str:
     u1 = u_sql(*key, "'n1'")
     u2 = u_sql(*key, "'n2'")
     return f"(sqrt(-2.0 * ln(greatest({u1}, 1.0 / 4294967296.0::DOUBLE))) * cos(6.283185307179586::DOUBLE * {u2}))"
+
+
+def report_inputs(spark: SparkSession) -> DataFrame:
+    """The dimension table of inputs by dataset, degradation and experiment suffix that the reports here use."""
+    rows, p = [], 0
+    sources = [("hammer", "_l515(?:_|$)", "L515"), ("hammer", "_tof(?:_|$)", "ToF"), ("hammer", None, "D435"), ("arkitscenes", None, "sensor"), (None, None, "ground truth")]
+    for dataset, suffix, name in sources:
+        rows.append((p := p + 1, dataset, "dtof_sim", suffix, 0, f"simulated zones 8x8 from {name}"))
+    rows.append((p := p + 1, "hammer", None, r"_x(\d+)$", None, "bicubic x{} from D435 map"))
+    rows.append((p := p + 1, None, None, r"_x(\d+)$", None, "bicubic x{} from ground truth"))
+    for dataset, suffix, name in sources[:3]:
+        rows.append((p := p + 1, dataset, None, suffix, 0, f"real {name} map"))
+    rows.append((p := p + 1, "void_stairs", None, None, 0, "sparse tracking points"))
+    rows.append((p := p + 1, "arkitscenes", None, "ducos_arkitscenes", 99, "real lidar 256x192"))
+    rows.append((p := p + 1, "arkitscenes", None, "_768$", 101, "real lidar 256x192"))
+    rows.append((p := p + 1, "arkitscenes", None, None, 100, "real lidar 256x192"))
+    rows.append((p := p + 1, None, None, None, 0, "real zones 8x8"))
+    return spark.createDataFrame(rows, "priority int, dataset string, degradation string, suffix string, rank int, label string")

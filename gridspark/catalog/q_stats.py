@@ -88,13 +88,13 @@ def _(spark, sf):
     return r.drop(*COLS).join(_cov(spark, sf), "frame")
 
 
-@register("error_correlations", "BMK-08", f"""WITH {FRAME_ROWS}, {COV}, j AS (SELECT round(absrel, 9) AS absrel, {", ".join(f"round({c}, 9) AS {c}" for c in COLS[:2])} FROM fr JOIN cov USING (frame)), r AS (SELECT {rank_sql('absrel')} AS e, {", ".join(f"{rank_sql(c)} AS {c}" for c in COLS[:2])} FROM j)
-  """ + " UNION ALL ".join(f"SELECT '{c}' AS property, count(*) AS n, corr(e, {c}) AS rho FROM r" for c in COLS[:2]), "rho")
+@register("error_correlations", "BMK-08", f"""WITH {FRAME_ROWS}, {COV}, j AS (SELECT round(absrel, 9) AS absrel, {", ".join(f"round({c}, 9) AS {c}" for c in COLS)} FROM fr JOIN cov USING (frame)), r AS (SELECT {rank_sql('absrel')} AS e, {", ".join(f"{rank_sql(c)} AS {c}" for c in COLS)} FROM j)
+  """ + " UNION ALL ".join(f"SELECT '{c}' AS property, count(*) AS n, corr(e, {c}) AS rho FROM r" for c in COLS), "rho")
 def _(spark, sf):
     # values that differ only by rounding noise must tie
     rows = M.per_frame(X.pixels8(spark, sf), CFG).withColumn("absrel", F.round("absrel", 9))
     cov = _cov(spark, sf).select("frame", *[F.round(c, 9).alias(c) for c in COLS])
-    return Q.error_correlations(rows, cov, "absrel", COLS[:2])
+    return Q.error_correlations(rows, cov, "absrel", COLS)
 
 
 @register("median_scale_ratio", "AGG-41", f"WITH {P8} SELECT frame, quantile_cont(pred / gt, 0.5) AS ratio FROM pix WHERE gt > 0.1 GROUP BY frame", "ratio")

@@ -211,7 +211,7 @@ def _(spark, sf):
 
 
 @register("report_title", "AGG-42 SCL-03", f"""WITH {LOG}, m AS (SELECT method, min(pos) AS p FROM log GROUP BY method), d AS (SELECT dataset, min(pos) AS p FROM log GROUP BY dataset)
-  SELECT left((SELECT string_agg(method, '-' ORDER BY p) FROM m) || '__' || (SELECT string_agg(dataset, '-' ORDER BY p) FROM d), 120) AS title""")
+  SELECT CASE WHEN length(u) > 120 THEN left(u, 111) || '-' || left(md5(u), 8) ELSE u END AS title FROM (SELECT (SELECT string_agg(method, '-' ORDER BY p) FROM m) || '__' || (SELECT string_agg(dataset, '-' ORDER BY p) FROM d) AS u)""")
 def _(spark, sf):
     return R.table_title(X.results_log(spark, sf), ["pos"])
 
@@ -365,7 +365,7 @@ def _(spark, sf):
                     F.lower(F.replace(F.upper(p), F.lit("/IMAGE/"), F.lit("/depth/"))).alias("other"))
 
 
-@register("file_safe_name", "SCL-03", "SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), 120) AS name FROM pages")
+@register("file_safe_name", "SCL-03", "SELECT page_id, CASE WHEN length(u) > 120 THEN left(u, 111) || '-' || left(md5(u), 8) ELSE u END AS name FROM (SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g') AS u FROM pages)")
 def _(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", S.file_safe(F.col("url")).alias("name"))
 
@@ -513,7 +513,7 @@ def _(spark, sf):
 
 @register("subset_manifest", "SMP-08 SRC-30 SRC-28", f"""WITH {RULE_SQL}, d AS (SELECT DISTINCT dataset || '/' || split AS split, sample_id FROM b),
   k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {u_sql('4', 'split', 'sample_id')}, sample_id) AS n FROM d)
-  SELECT split, count(*) AS n_ids, 4 AS seed, string_agg(sample_id::VARCHAR, ',' ORDER BY sample_id) AS ids FROM k WHERE n <= 15 GROUP BY split""")
+  SELECT split, (m - 1) // 1000 AS part, count(*) AS n_ids, 4 AS seed, string_agg(sample_id::VARCHAR, ',' ORDER BY sample_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample_id) AS m FROM k WHERE n <= 15) GROUP BY split, part""")
 def _(spark, sf):
     d = SM.split_by_rule(_rule_records(spark, sf)).select(F.concat_ws("/", "dataset", "split").alias("split"), "sample_id").distinct()
     none = d.where(F.lit(False))
@@ -618,7 +618,7 @@ def _named(spark, sf):
   FROM q LEFT JOIN pub USING (experiment)""", "absrel rmse published_unit_rmse deviation")
 def _(spark, sf):
     pub = spark.createDataFrame([("m1_nyuv2_x8", 2.5, 100.0), ("m0_hammer", 0.35, 1.0), ("m2_zju_l5_dtof", 1.45, 255.0)], "p_experiment string, p_rmse double, p_factor double")
-    return R.report_table(_named(spark, sf), "^(m0|m1|m2)_", pub)
+    return R.report_table(_named(spark, sf), "^(m0|m1|m2)_", pub, X.report_inputs(spark))
 
 
 @register("domain_gap", "AGG-36 BMK-10", f"""WITH {NAMED}, l AS (SELECT experiment, absrel, rmse FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY stamp DESC, pos DESC) AS k FROM named) WHERE k = 1),

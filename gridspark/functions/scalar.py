@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The keys of a run configuration that decide its numbers.
@@ -25,13 +25,16 @@ def path_part(path: Column, index: int) -> Column:
 
 
 def file_safe(name: Column, limit: int = 120) -> Column:
-    return F.left(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "-"), F.lit(limit))
+    """A name for files; one that is too long ends in a hash of the whole, so that no two meet."""
+    safe = F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "-")
+    return F.when(F.length(safe) > limit, F.concat(F.left(safe, F.lit(limit - 9)), F.lit("-"), F.left(F.md5(safe), F.lit(8)))).otherwise(safe)
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Digits are zero-padded, so text order equals number order."""
-    padded = F.regexp_replace(c, r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, r"0*(\d{%d})(?!\d)" % width, "$1")
+def natural_key(c: Column) -> Column:
+    """Orderable: text and number parts in turn; numbers of any length compare by value."""
+    text, digits = (F.regexp_extract_all(c, F.lit(r"(\D*)(\d*)"), F.lit(k)) for k in (1, 2))
+    bare = F.transform(digits, lambda d: F.regexp_replace(d, r"^0+(?=\d)", ""))
+    return F.transform(F.arrays_zip(text.alias("t"), bare.alias("d")), lambda p: F.struct(p["t"].alias("t"), F.length(p["d"]).alias("n"), p["d"].alias("d")))
 
 
 def metric_line(metrics: dict[str, Column]) -> Column:
@@ -155,18 +158,20 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def protocol(experiment: Column, dataset: Column, degradation: Column) -> Column:
-    """(sort rank, label) of the input a method was given."""
-    factor = F.regexp_extract(experiment, r"_x(\d+)$", 1)
-    source = F.when(dataset == "hammer", sensor_name(experiment)).when(dataset == "arkitscenes", "sensor").otherwise("ground truth")
-    rank = (F.when(degradation == "dtof_sim", 0).when(factor != "", factor.try_cast("int"))
-            .when((dataset == "arkitscenes") & experiment.rlike("_768$"), 101)
-            .when(dataset == "arkitscenes", 100).otherwise(0))
-    label = (F.when(degradation == "dtof_sim", F.concat(F.lit("simulated zones 8x8 from "), source))
-             .when(factor != "", F.concat(F.lit("bicubic x"), factor, F.lit(" from "),
-                                          F.when(dataset == "hammer", "D435 map").otherwise("ground truth")))
-             .when(dataset == "hammer", F.concat(F.lit("real "), sensor_name(experiment), F.lit(" map")))
-             .when(dataset == "void_stairs", "sparse tracking points")
-             .when(dataset == "arkitscenes", "real lidar 256x192")
-             .otherwise("real zones 8x8"))
-    return F.struct(rank.alias("rank"), label.alias("label"))
+def with_protocol(runs: DataFrame, inputs: DataFrame, experiment: str = "key") -> DataFrame:
+    """Adds ``rank`` and ``label`` of the input a method was given, from the caller's dimension table.
+
+    ``inputs``: priority, dataset, degradation, suffix, rank, label; a null matches anything, the suffix is a
+    pattern for the experiment's name whose first group replaces ``{}`` in the label and gives a null
+    rank. The row of least priority that matches is taken; a run that none matches has nulls.
+    """
+    name = F.col(experiment)
+    fits = lambda c: F.col(f"_i.{c}").isNull() | (F.col(f"_i.{c}") == F.col(c))
+    part = F.expr(f"regexp_extract(`{experiment}`, concat(coalesce(_i.suffix, ''), '()'), 1)")
+    found = F.col("_i.suffix").isNull() | F.rlike(name, F.col("_i.suffix"))
+    dim = F.broadcast(inputs.select(F.struct(*inputs.columns).alias("_i")))  # a few rows that the caller wrote down
+    best = runs.select("*", F.monotonically_increasing_id().alias("_row")).join(dim, fits("dataset") & fits("degradation") & found, "left")
+    best = best.select("*", F.when(F.col("_i").isNotNull(), F.struct(F.coalesce("_i.rank", part.try_cast("int")).alias("rank"), F.replace(F.col("_i.label"), F.lit("{}"), part).alias("label"))).alias("_p"))
+    rest = [c for c in runs.columns if c != experiment]
+    g = best.groupBy("_row", experiment).agg(F.min_by(F.struct(*rest, "_p"), "_i.priority").alias("_r"))
+    return g.select(experiment, *[F.col("_r")[c].alias(c) for c in rest], F.col("_r._p.rank").alias("rank"), F.col("_r._p.label").alias("label"))

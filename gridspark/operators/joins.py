@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.projection import require
-from gridspark.session import small_side
 
 
 def gate_masks(px: DataFrame, flags: DataFrame, mode: str = "all") -> DataFrame:
@@ -72,11 +71,10 @@ def mask_to_frame(px: DataFrame, masks: DataFrame, by: Sequence[str] = ("frame",
 def best_by_pixel_agreement(probe: DataFrame, candidates: DataFrame) -> DataFrame:
     """Compare one probe frame with every candidate frame, pixel by pixel.
 
-    The probe is one frame; it is broadcast when its pixel count is checked to be
-    small, and joined on the pixel otherwise.
+    The probe is one frame, joined on the pixel; how is left to the optimizer.
     """
     p = probe.select("y", "x", F.col("z").alias("pz"))
-    j = candidates.join(small_side(p), ["y", "x"])
+    j = candidates.join(p, ["y", "x"])
     both = (F.col("z") > 0) & (F.col("pz") > 0)
     either = (F.col("z") > 0) | (F.col("pz") > 0)
     return j.groupBy("frame").agg(

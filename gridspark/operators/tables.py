@@ -117,7 +117,7 @@ def by_schema_version(lines: DataFrame, versions: Sequence[Sequence[str]], colum
     cells = F.split(text, ",", -1)
     n = F.size(cells)
     known = F.when(n.isin(*by_width), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("a row has "), n.cast("string"), F.lit(" fields, matching no known header"))).cast("boolean"))
+        F.raise_error(F.concat(F.lit("unknown layout of width "), n.cast("string"))).cast("boolean"))
 
     def cell(c: str) -> Column:
         e = F.lit("")

@@ -12,6 +12,7 @@ from gridspark.operators import metrics as M
 from gridspark.operators import raster as R
 from gridspark.operators import stats as ST
 from gridspark.operators.ordering import quantiles
+from gridspark.session import cut
 
 
 def mask_quality(px: DataFrame, cam: Sequence, min_px: int = 300, smooth_k: int = 5, max_rel_jump: float = 0.15, bin_m: float = 0.04,
@@ -61,8 +62,8 @@ def worst_report(px: DataFrame, cfg: M.MetricConfig, metric: str, n: int, points
 
 
 def error_correlations(rows: DataFrame, cov: DataFrame, metric: str, names: Sequence[str]) -> DataFrame:
-    """Rank correlation of the per-frame error with each covariate."""
-    j = rows.select("frame", metric).join(cov, "frame")
+    """Rank correlation of the per-frame error with each covariate; the pixels are read once, for one stored row per frame."""
+    j = cut(rows.select(metric, "frame").join(cov.select("frame", *names), "frame"))
     out = None
     for c in names:
         r = ST.spearman(j, c, metric).select(F.lit(c).alias("property"), "n", "rho")

@@ -89,16 +89,16 @@ def ablation_table(runs: DataFrame, val: DataFrame, families: dict[str, Sequence
     return w.withColumn("family", F.lit("all")).unionByName(best.select("row_id", "family").join(w, "row_id"))
 
 
-def report_table(log: DataFrame, include: str, published: DataFrame, adhoc: str = "adhoc", floors: dict | None = None) -> DataFrame:
+def report_table(log: DataFrame, include: str, published: DataFrame, inputs: DataFrame, adhoc: str = "adhoc", floors: dict | None = None) -> DataFrame:
     """Latest row per experiment with protocol label, sort rank and deviation from published numbers."""
     r = T.latest_per_experiment(log, adhoc, floors)
     r = r.where(F.col("key").rlike(include) | F.col("key").contains("/"))
-    proto = S.protocol(F.col("key"), F.col("dataset"), F.col("degradation"))
-    r = r.withColumn("_p", proto).join(published, r["key"] == published["p_experiment"], "left")
+    r = S.with_protocol(r, inputs)
+    r = r.join(published, r["key"] == published["p_experiment"], "left")
     rmse = lenient_double(F.col("rmse").cast("string"))
     ours = rmse * F.col("p_factor")
     return r.select(
-        "dataset", "key", F.col("_p.label").alias("protocol"), F.col("_p.rank").alias("sort_rank"), "method", "n_samples",
+        "dataset", "key", F.col("label").alias("protocol"), F.col("rank").alias("sort_rank"), "method", "n_samples",
         lenient_double(F.col("absrel").cast("string")).alias("absrel"), rmse.alias("rmse"),
         ours.alias("published_unit_rmse"), ((ours - F.col("p_rmse")) / F.col("p_rmse")).alias("deviation"),
         S.stamp_day(F.col("stamp")).cast("string").alias("day"))

@@ -4,17 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 PREFIX = "gridspark-cut-"
-_WRITTEN: list[str] = []
+_OWNER: ContextVar[Cuts | None] = ContextVar("gridspark_cuts", default=None)
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "gridspark") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own session."""
+class Cuts:
+    """Owner of the tables that :func:`cut` stores inside its ``with`` block.
+
+    Leaving the block deletes nothing, as results are lazy; :meth:`clear` deletes this owner's
+    tables and no others. Tables stored outside any block stay in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self._token = spark, [], None
+
+    def __enter__(self) -> Cuts:
+        self._token = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNER.reset(self._token)
+
+    def clear(self) -> int:
+        """Delete the tables, once their results are used; returns how many there were."""
+        sc, n = self.spark.sparkContext, len(self.paths)
+        while self.paths:
+            p = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        return n
+
+
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "gridspark", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own session.
+
+    ``checkpoint_dir``: the shared folder; a new scratch folder where none is given.
+    """
     return (
         SparkSession.builder.master(master)
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="spark-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,8 +62,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A scratch folder is made only where the cluster names none, and only in
-    local mode: on a cluster a machine-local folder would be lost with its node.
+    Where it is unset, a scratch folder serves a session in local mode; on a cluster a
+    machine-local folder would be lost with its node, so the setting is required there.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -61,26 +92,6 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (owner := _OWNER.get()) is not None:
+        owner.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_cuts(spark: SparkSession) -> int:
-    """Delete the tables written by :func:`cut` in this session, once their results are used."""
-    jvm = spark.sparkContext._jvm
-    n = 0
-    while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        n += 1
-    return n
-
-
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
-
-    Counting stops just past the bound; beyond it the join shuffles both sides.
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

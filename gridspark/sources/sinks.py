@@ -54,8 +54,9 @@ def split_list(rows: DataFrame, order: str, ident: str, part_size: int = 100_000
     return g.select("dataset", "split", "part", F.to_json(F.struct("dataset", "split", F.col("_i")[ident].alias("ids"))).alias("doc"))
 
 
-def manifest(subset: DataFrame, seed: int) -> DataFrame:
-    """Seeds, counts and ids of a subset per split; a subset holds n ids per split and round by construction."""
-    return subset.groupBy("split").agg(
+def manifest(subset: DataFrame, seed: int, part_size: int = 1_000) -> DataFrame:
+    """Seed, count and sorted ids of a subset per split, in numbered parts of at most ``part_size`` ids."""
+    r = ranked(subset.select("split", "sample_id"), ["split"], ["sample_id"], "_k")
+    return r.groupBy("split", F.floor((F.col("_k") - 1) / part_size).alias("part")).agg(
         F.count(F.lit(1)).alias("n_ids"), F.lit(seed).alias("seed"),
         F.array_join(F.sort_array(F.collect_list("sample_id")), ",").alias("ids"))
