@@ -26,14 +26,15 @@ from gridspark.session import cut
 
 BITS = 19  # the upper half of the buckets is for word beginnings
 _HALF = 0.5
+UNKNOWN = {"good": 0.99, "toxic": 0.01}  # shares where nothing is labelled: no text is under suspicion
 STEM = 4  # bytes of a word's beginning
 
 
 @dataclass(frozen=True)
 class Settings:
     sample: int = 8_000  # most labelled documents that the model is fitted on
-    min_docs: int = 12  # labelled documents a word must be in
-    z: float = 6.0  # evidence that a word's rates differ, in standard errors
+    min_docs: int = 6  # labelled documents a word must be in
+    z: float = 5.0  # evidence that a word's rates differ, in standard errors
     lift: float = 8.0  # ratio by which they differ at least
     telling: int = 256  # most words in the model
     ridge: float = 0.3
@@ -151,7 +152,7 @@ def fit(texts: pa.Array, good: np.ndarray, toxic: np.ndarray, settings: Settings
     for name, y in (("good", good), ("toxic", toxic)):
         y = y.astype(bool)
         n1, n0 = int(y.sum()), int((~y).sum())
-        m.base[name] = (n1 + _HALF) / (n1 + n0 + 1)
+        m.base[name] = (n1 + _HALF) / (n1 + n0 + 1) if len(y) else UNKNOWN[name]
         m.word[name], m.bias[name], m.shape[name] = np.zeros(1 << BITS), 0.0, [np.zeros(k) for k in sizes]
         if not min(n1, n0):
             continue
@@ -268,7 +269,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
     ``quality_``: good, toxic (posterior probabilities), text_good, text_toxic (by the text alone),
     host_good, host_toxic (prior of its site), keep. Null and empty texts are judged as empty texts
     (no words, all shapes in their lowest bin). Repeated rows are judged alike, each one counts in
-    its site. Without labels the evidence is even and only ``base`` 0.5 remains, so that every row
+    its site. Without labels the evidence is even and only ``UNKNOWN`` remains, so that every row
     is kept. Columns of any name pass through, but for ``quality_``, which is replaced.
     """
     m = train(documents, labels, settings)

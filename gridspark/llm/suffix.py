@@ -146,18 +146,18 @@ def _common(text: np.ndarray, a: int, b: int, cap: int) -> int:
     return n
 
 
-def _words(text: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """The ``8 * n`` characters from each place as words; what follows a piece's end is 0."""
-    out, alive = [], np.ones(len(at), bool)
-    last = len(text) - 1
-    for k in range(n):
-        word = np.zeros(len(at), U)
-        for j in range(8):
-            c = text[np.minimum(at + 8 * k + j, last)]
-            alive &= c != 0
-            word = (word << U(8)) | np.where(alive, c, 0).astype(U)
-        out.append(word)
-    return out
+def _words(text: np.ndarray, at: np.ndarray, room: np.ndarray, n: int) -> list[np.ndarray]:
+    """The ``8 * n`` characters from each place as words; what lies beyond its ``room`` is 0."""
+    padded = np.concatenate([text.astype(np.uint8), np.zeros(8 * n + 8, np.uint8)])
+    every = np.ndarray((len(text) + 8 * n,), ">u8", padded, strides=(1,))  # the word at each byte
+    keep = np.array([0, *((0xFFFFFFFFFFFFFFFF << 8 * (8 - k)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 9))], U)
+    return [every[at + 8 * k].astype(U) & keep[np.clip(room - 8 * k, 0, 8)] for k in range(n)]
+
+
+def _first(marks: np.ndarray) -> np.ndarray:
+    """Place of the first marked byte of each word, 8 where there is none."""
+    at = marks.argmax(1)
+    return np.where(marks[np.arange(len(marks)), at], at, 8)
 
 
 def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,26 +176,19 @@ def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator
     del nxt, change
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     star = star[text[star] != 0]
-    words = _words(text, star, -(-cap // 8))
+    ends = np.flatnonzero(text == 0)
+    words = _words(text, star, ends[np.searchsorted(ends, star)] - star, -(-cap // 8))
     order = np.lexsort(words[::-1])
     star = star[order]
     lcp = np.zeros(len(star), np.int64)
-    going = np.ones(max(len(star) - 1, 0), bool)
+    going = np.arange(1, len(star))  # neighbours that agree so far
     for w in words:
-        w = w[order]
-        same = w[1:] ^ w[:-1]
-        # Leading equal bytes of a word.
-        width = np.where(same == 0, 8, 0)
-        x = same.copy()
-        for b in range(7):
-            width = np.where((same != 0) & (x >> U(56 - 8 * b) == 0), b + 1, width)
-        # Bytes after a piece's end are 0 on both sides and don't count.
-        zero = w[1:] == 0
-        for b in range(8):
-            gone = (w[1:] << U(8 * b)) == 0 if b else zero
-            width = np.where((same == 0) & gone & (width > b), b, width)
-        lcp[1:] += np.where(going, width, 0)
-        going &= width == 8
+        w = w[order].astype(">u8").view(np.uint8).reshape(-1, 8)
+        x, y = w[going - 1], w[going]
+        # A 0 ends the piece; what follows it does not count as common.
+        width = np.minimum(_first(x != y), _first(y == 0))
+        lcp[going] += width
+        going = going[width == 8]
     lcp = np.minimum(lcp, cap).astype(np.uint8)
     del words, order
     first = text[star]
@@ -204,7 +197,6 @@ def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator
 
     ups, lists = Queues(memory), Queues(memory)
     up = _Pass(text, ups, cap)
-    ends = np.flatnonzero(text == 0)
     up.bucket()
     # Ends of pieces share nothing: the suffixes before them are single characters.
     up.scan(ends, np.zeros(len(ends), np.uint8), lambda c: c > 0)
@@ -376,18 +368,26 @@ def _pieces(shards: int, s: Settings):
                     continue
                 doc, start, end, low = doc[pick], start[pick], end[pick], low[pick]
                 size = end - start + s.length
+                first = b.offsets[doc] + start
+                # Equal pieces of a block travel once; 64-bit hashes name them.
+                with np.errstate(over="ignore"):
+                    c = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_VALUE[b.data] * powers(len(b.data)), dtype=U)])
+                    name = mix((c[first + size] - c[first]) * powers(len(b.data), inverse=True)[first] + low + size.astype(U))
                 to = (mix(low) % U(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                ids, tks = batch.column(0).to_numpy()[b.first:], batch.column(1).to_numpy()[b.first:]
-                cuts = np.searchsorted(to[order], np.arange(shards + 1))
+                order = np.lexsort((name, to))
+                doc, start, size, first, to, name = (v[order] for v in (doc, start, size, first, to, name))
+                new = np.concatenate([[True], (name[1:] != name[:-1]) | (to[1:] != to[:-1])])
+                ids, tks = batch.column(0).to_numpy()[b.first:][doc], batch.column(1).to_numpy()[b.first:][doc]
+                cuts = np.searchsorted(to, np.arange(shards + 1))
                 out = []
                 for k in np.flatnonzero(np.diff(cuts)):
-                    o = order[cuts[k]: cuts[k + 1]]
-                    z = size[o]
-                    where = np.arange(int(z.sum())) + np.repeat(b.offsets[doc[o]] + start[o] - (np.cumsum(z) - z), z)
-                    out.append((int(k), b.data[where].tobytes(), z.astype(np.int64).tobytes(), ids[doc[o]].tobytes(), tks[doc[o]].tobytes(), start[o].astype(np.int64).tobytes()))
-                kinds = (pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "data", "size", "ids", "tks", "start"])
+                    o = slice(cuts[k], cuts[k + 1])
+                    one, z = first[o][new[o]], size[o][new[o]]
+                    where = np.arange(int(z.sum())) + np.repeat(one - (np.cumsum(z) - z), z)
+                    out.append((int(k), b.data[where].tobytes(), z.astype(np.uint32).tobytes(), (np.cumsum(new[o]) - 1).astype(np.uint32).tobytes(),
+                                ids[o].tobytes(), tks[o].tobytes(), start[o].astype(np.uint32).tobytes()))
+                kinds = (pa.int32(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "data", "size", "piece", "ids", "tks", "start"])
 
     return run
 
@@ -396,18 +396,21 @@ def _sort(s: Settings):
     """One shard: byte ranges of its windows that a smaller doc_id holds as well."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: b"".join(table[c].to_pylist()) for c in ("size", "ids", "tks", "start")}
-        size, ids, tks, start = (np.frombuffer(col[c], np.int64) for c in ("size", "ids", "tks", "start"))
-        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
-        first = np.cumsum(size) - size
+        col = {c: b"".join(table[c].to_pylist()) for c in ("size", "piece", "ids", "tks", "start")}
+        ids, tks = (np.frombuffer(col[c], np.int64) for c in ("ids", "tks"))
+        own, piece, start = (np.frombuffer(col[c], np.uint32).astype(np.int64) for c in ("size", "piece", "start"))
+        raw = b"".join(table["data"].to_pylist())
+        per = [(len(a) // 4, len(b) // 4) for a, b in zip(table["size"].to_pylist(), table["piece"].to_pylist(), strict=True)]
+        shift = np.repeat(np.cumsum([0] + [a for a, _ in per])[:-1], [b for _, b in per])
+        first = np.cumsum(own) - own
         # Equal pieces are sorted once.
         seen: dict[bytes, int] = {}
-        raw = data.tobytes()
-        kind = np.fromiter((seen.setdefault(raw[a: a + z], len(seen)) for a, z in zip(first.tolist(), size.tolist(), strict=True)), np.int64, len(size))
+        kind = np.fromiter((seen.setdefault(raw[a: a + z], len(seen)) for a, z in zip(first.tolist(), own.tolist(), strict=True)), np.int64, len(own))
+        size, kind = own[piece + shift], kind[piece + shift]
         pieces = list(seen)
         least = np.full(len(pieces), LAST_ID)
         np.minimum.at(least, kind, ids)
-        del seen, raw
+        del seen, raw, first, own
         length = np.array([len(p) for p in pieces])
         text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
         begin = np.cumsum(length + 1) - (length + 1)
@@ -507,7 +510,7 @@ def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     runs = packed.groupBy("bucket").applyInArrow(_shared, BLOCKS).groupBy("block").applyInArrow(_by_doc, "id long, tk long, runs binary")
     runs = runs.join(copies, ["id", "tk"], "left_anti").dropDuplicates(["id", "tk"])
     texts = runs.join(slim.withColumnsRenamed({"id": "_i", "tk": "_t"}), (F.col("id") == F.col("_i")) & (F.col("tk") == F.col("_t"))).select("id", "tk", "runs", "text")
-    pieces = texts.mapInArrow(_pieces(buckets, s), "shard int, data binary, size binary, ids binary, tks binary, start binary")
+    pieces = texts.mapInArrow(_pieces(buckets, s), "shard int, data binary, size binary, piece binary, ids binary, tks binary, start binary")
     spans = pieces.groupBy("shard").applyInArrow(_sort(s), "id long, tk long, start long, end long")
     spans = spans.union(copies).groupBy("id", "tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = cut(spans).withColumnsRenamed({"id": "_i", "tk": "_t", "spans": "_spans"})
