@@ -81,6 +81,18 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("gt").alias("total"))
 
 
+@register("crop_eigen", "PRJ-05", f"""WITH {P64}, sz AS (SELECT frame, max(y)+1 AS h, max(x)+1 AS w FROM pix GROUP BY frame),
+  g AS (SELECT frame, y.y, x.x, (y.y * h) // 480 AS sy, (x.x * w) // 640 AS sx FROM sz, (SELECT unnest(range(480)) AS y) y, (SELECT unnest(range(640)) AS x) x)
+  SELECT g.frame, count(*) AS n, sum(pix.gt) AS total, min(g.y) AS y_min, max(g.x) AS x_max FROM g JOIN pix ON pix.frame = g.frame AND pix.y = g.sy AND pix.x = g.sx
+  WHERE g.y BETWEEN 45 AND 470 AND g.x BETWEEN 41 AND 600 GROUP BY g.frame""", "total")
+def _(spark, sf):
+    from gridspark.layouts import with_size
+    from gridspark.operators.raster import resize_nearest
+    whole = resize_nearest(with_size(pixels64(spark, sf)), F.lit(480), F.lit(640))
+    return P.crop(with_size(whole.drop("h", "w")), "eigen").groupBy("frame").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gt").alias("total"), F.min("y").alias("y_min"), F.max("x").alias("x_max"))
+
+
 @register("crop_modulo", "PRJ-06", f"""WITH {P64}, sz AS (SELECT frame, max(y)+1 AS h, max(x)+1 AS w FROM pix GROUP BY frame)
   SELECT frame, count(*) AS n, max(y) AS y_max, max(x) AS x_max FROM pix JOIN sz USING (frame)
   WHERE y < h - h % 24 AND x < w - w % 24 GROUP BY frame""")

@@ -245,14 +245,15 @@ def _(spark, sf):
     return I.latest_run_rows(f)
 
 
-@register("zone_documents", "SRC-33", f"WITH {PAIRS} SELECT row_id, frame, zone, metric, value FROM runs WHERE metric <> 'delta1' AND zone <> 'stairs' AND NOT isnan(value)", "value")
+@register("zone_documents", "SRC-33", f"WITH {PAIRS} SELECT row_id, frame, zone, metric, value FROM runs WHERE NOT isnan(value)", "value")
 def _(spark, sf):
-    r = X.paired_runs(spark, sf).where("metric <> 'delta1' and zone <> 'stairs'")
+    r = X.paired_runs(spark, sf)
+    zones, metrics = ("full", "stairs", "edge"), ("absrel", "rmse", "delta1")
     # frames as nested documents per block of a run, the way result files hold them
-    cell = lambda z, m: F.max(F.when((F.col("zone") == z) & (F.col("metric") == m) & ~F.isnan("value"), F.col("value")))
-    f = r.groupBy("row_id", "frame").agg(F.struct(cell("full", "absrel").alias("absrel"), cell("full", "rmse").alias("rmse")).alias("full"), F.struct(cell("edge", "absrel").alias("absrel"), cell("edge", "rmse").alias("rmse")).alias("edge"))
-    docs = f.select("row_id", F.array(F.struct(F.col("frame").alias("id"), "full", "edge")).alias("per_frame"))
-    return I.zone_documents(docs, ["full", "edge"], ["absrel", "rmse"])
+    cell = lambda z, m: F.max(F.when((F.col("zone") == z) & (F.col("metric") == m) & ~F.isnan("value"), F.col("value"))).alias(m)
+    f = r.groupBy("row_id", "frame").agg(*[F.struct(*[cell(z, m) for m in metrics]).alias(z) for z in zones])
+    docs = f.select("row_id", F.array(F.struct(F.col("frame").alias("id"), *zones)).alias("per_frame"))
+    return I.zone_documents(docs, list(zones), list(metrics))
 
 
 @register("loader_registry", "SRC-34 UDF-04", "SELECT 's' || doc_id AS sample_id FROM documents JOIN labels USING (doc_id)")
