@@ -44,6 +44,9 @@ class Settings:
     small: int = 500_000  # rows (of 8 bytes) up to which a list of ids is sent to all tasks
 
 
+FEW = 6  # points of a set that are looked up to compare a pair once
+
+
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, end to end, and their bounds."""
     w = words(block, SPACES)
@@ -81,10 +84,10 @@ def parity(members: np.ndarray, s: Settings) -> bytes:
     """Which cells hold an odd number of the set's shingles.
 
     Two sets differ in at least as many shingles as their parities in cells, however far both are
-    folded. About four cells for each shingle that may differ tell most other pairs apart.
+    folded. Sixteen cells for each shingle that may differ leave few chances to hide a difference.
     """
     cells = 64
-    while cells < 4 * differ(len(members), len(members), s.num, s.den):
+    while cells < 16 * differ(len(members), len(members), s.num, s.den):
         cells *= 2
     odd = np.bincount((mix(members ^ U(0x0F0F0F0F0F0F0F0F)) & U(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -300,11 +303,17 @@ def _likely(s: Settings):
 
 
 def _across(s: Settings):
-    """Pairs of one meeting point and of two components that sizes and parities leave open."""
+    """Pairs of one meeting point and of two components that sizes and parities leave open.
+
+    ``low`` holds the first few points of each set: where two sets share an earlier one, they are compared there.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         point, sid, part, n = (table[c].to_numpy() for c in ("point", "sid", "part", "n"))
         bits = table["bits"].to_pylist()
+        low = np.full((len(sid), FEW), np.iinfo(np.int64).max)
+        for i, x in enumerate(table["low"].to_pylist()):
+            low[i, : len(x)] = x
         order = np.lexsort((sid, point))
         first = np.flatnonzero(np.concatenate([[True], point[order][1:] != point[order][:-1]]))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -321,6 +330,9 @@ def _across(s: Settings):
                     x, y = x[ok], y[ok]
                     most = (size[x] + size[y]) * (s.den - s.num) // (s.den + s.num)
                     ok = np.bitwise_count(cells[x] ^ cells[y]).sum(1, dtype=np.int64) <= most
+                    x, y = x[ok], y[ok]
+                    a, b = low[o[x]][:, :, None], low[o[y]][:, None, :]
+                    ok = ~((a == b) & (a < point[o[0]])).any((1, 2))
                     us.append(name[x[ok]])
                     vs.append(name[y[ok]])
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
@@ -395,7 +407,8 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFra
     split = known.groupBy("point").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("point")
     rest = known.join(split, "point", "left_semi")
     # Open pairs are told apart where their members meet, so that none travels that sizes and parities rule out.
-    met_with = rest.join(marks, "sid").select((F.xxhash64("point") % buckets).alias("deal"), "point", "sid", "part", "n", "bits")
+    low = rest.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("point")), 1, FEW).alias("low"))  # a set has few points
+    met_with = rest.join(low, "sid").join(marks, "sid").select((F.xxhash64("point") % buckets).alias("deal"), "point", "sid", "part", "n", "bits", "low")
     open_ = met_with.groupBy("deal").applyInArrow(_across(s), "u long, v long").distinct()
     pairs = cut(open_.join(stars, ["u", "v"], "left_anti"))
     links = cut(verified(pairs).union(first))
