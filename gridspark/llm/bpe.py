@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LONG = 256  # bytes of a word up to which the recursive query takes it
-WORDS = 40_000  # words a query
-KNOWN = 400_000  # words a worker remembers before it starts afresh
-ROWS = 2_000_000  # tokens a decoding query
+WORDS = 12_000  # words a query
+KNOWN = 250_000  # words a worker remembers before it starts afresh
+ROWS = 400_000  # tokens a decoding query
 
 STEP = """
     c AS (SELECT x.w, x.p, x.t, x.q, m.k::BIGINT * 4294967296 + x.p AS r
@@ -70,7 +70,7 @@ class Coder:
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         a, b, k = [], [], []
@@ -190,17 +190,19 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return Coder(ranks_path, pattern)
 
 
-SLICE = 2 << 20  # characters of text that are encoded at a time
+SLICE = 1 << 20  # characters of text that are encoded at a time
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """All columns but ``text``, and ``ids``: array<int>, the tokens of the whole text (null and empty: none).
 
-    Rows are coded one by one, so repeated rows and any ids are alike. A column named ``ids`` is replaced.
+    With ``decoded`` the same worker turns the ids back into bytes, as :func:`decode` does for stored ids:
+    one database a task instead of two. Rows are coded one by one, so repeated rows and any doc_ids
+    are alike. Columns named ``ids`` (and ``decoded``) are replaced.
     """
-    rest = [c for c in documents.columns if c not in (text, "ids")]
+    rest = [c for c in documents.columns if c not in (text, "ids", *["decoded"] * decoded)]
     source = documents.select(*rest, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "`ids` array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "`ids` array<int>", *["`decoded` binary"] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
@@ -216,7 +218,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                 parts = list(c.encode_all(texts))
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i - first) for k in range(len(rest))), ids], [*rest, "ids"])
+                more = [pa.array(c.decode_all(ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i - first) for k in range(len(rest))), ids, *more], [*rest, "ids", *["decoded"] * decoded])
 
     return source.mapInArrow(run, schema)
 

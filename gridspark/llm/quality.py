@@ -32,7 +32,7 @@ STEM = 4  # bytes of a word's beginning
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 8_000  # most labelled documents that the model is fitted on
+    sample: int = 5_000  # most labelled documents that the model is fitted on
     min_docs: int = 6  # labelled documents a word must be in
     z: float = 5.0  # evidence that a word's rates differ, in standard errors
     lift: float = 8.0  # ratio by which they differ at least
@@ -137,8 +137,8 @@ def fit(texts: pa.Array, good: np.ndarray, toxic: np.ndarray, settings: Settings
     docs, buckets, shapes, seen = [], [], [], 0
     for b in blocks(texts):
         d, k, s = features(b)
-        docs.append(d + seen)
-        buckets.append(k)
+        docs.append((d + seen).astype(np.int32))
+        buckets.append(k.astype(np.int32))
         shapes.append(s)
         seen += len(b)
     doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)

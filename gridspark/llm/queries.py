@@ -63,10 +63,10 @@ def op2(spark, sf_dir):
 def op7(spark, sf_dir):
     import public_tokenizers
 
-    from gridspark.llm.bpe import decode, encode
+    from gridspark.llm.bpe import encode
 
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where), *where)
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where, decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

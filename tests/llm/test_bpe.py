@@ -54,6 +54,12 @@ def test_nulls_empty_repeats_and_clashing_names(spark, library):
     assert encode(df.limit(0), PATH, PATTERN).collect() == []
 
 
+def test_decoding_along_equals_decoding_stored_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40)
+    key = lambda r: (r.doc_id, r.ids, bytes(r.decoded))
+    assert sorted(map(key, encode(docs, PATH, PATTERN, decoded=True).collect())) == sorted(map(key, decode(encode(docs, PATH, PATTERN), PATH, PATTERN).collect()))
+
+
 def test_unknown_ids_are_an_error(coder):
     import pyarrow as pa
 
