@@ -34,7 +34,19 @@ def op10(spark, sf_dir):
     return docs.filter("quality_.keep").select("doc_id", "source", "lang", *q, F.col("quality_.keep").alias("keep"))
 
 
-@query("op4_ngram_jaccard")
+@query("op4_ngram_jaccard", r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, m.m) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) m USING (doc_id)
+""")
 def op4(spark, sf_dir):
     from gridspark.llm.ngram_join import classes
 
@@ -134,7 +146,19 @@ def op8(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"))
 
 
-@query("op9_suffix_array_dedup")
+@query("op9_suffix_array_dedup", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, i, t[2 * i + 1:2 * i + 100] AS x FROM d, unnest(range(0, n - 49)) AS u(i)),
+f AS (SELECT x, min(doc_id) AS lo FROM g GROUP BY x HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g JOIN f USING (x) WHERE lo < doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+o AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM o),
+h AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS final, string_agg(t[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept, '') || t[2 * coalesce(final, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN h USING (doc_id)
+""")
 def op9(spark, sf_dir):
     from gridspark.llm.suffix import dedup
 
