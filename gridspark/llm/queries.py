@@ -127,7 +127,36 @@ def op1(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op5_license_scan")
+def license_sql() -> str:
+    """Phrases by list positions, notices by set intersection of every line."""
+    from math import ceil
+
+    from gridspark.llm.licenses import Settings, _split
+
+    s = Settings()
+    quoted = lambda v: "'" + v + "'"
+    phrases = ", ".join(f"([{', '.join(map(quoted, p.split()))}], {quoted(label)})" for p, label in s.phrases)
+    sets = [(label, sorted(set(_split(text)))) for label, text in s.notices]
+    notices = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, w))}], {ceil(s.containment * len(w) - 1e-9)})" for label, w in sets)
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+ph(p, label) AS (VALUES {phrases}),
+nt(label, need, least_) AS (VALUES {notices}),
+b AS (SELECT doc_id, i - 1 AS pos, label FROM w, ph, unnest(range(1, len(ws) - len(p) + 2)) AS u(i)
+      WHERE contains(t, p[1]) AND contains(t, p[len(p)]) AND ws[i:i + len(p) - 1] = p),
+ln AS (SELECT doc_id, list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ls FROM d, unnest(string_split(t, chr(10))) AS u(x)),
+n AS (SELECT doc_id, label, len(list_intersect(ls, need)) / len(need) AS c FROM ln, nt WHERE len(ls) >= least_ AND len(list_intersect(ls, need)) >= least_),
+bs AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+la AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM n) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(c) AS c FROM n GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN la USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
+@query("op5_license_scan", license_sql())
 def op5(spark, sf_dir):
     from gridspark.llm.licenses import scan
 
