@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 
 LONG = 256  # bytes of a word up to which the recursive query takes it
 WORDS = 12_000  # words a query
-KNOWN = 250_000  # words a worker remembers before it starts afresh
+KNOWN = 300_000  # words a worker remembers before it starts afresh
 ROWS = 400_000  # tokens a decoding query
 
+#: Neighbours of the rows of ``source`` with the merge that joins them, and each word's leftmost pair of least
+#: rank. Positions grow through all words, so one sort by position keeps words together.
 STEP = """
     c AS (SELECT x.w, x.p, x.t, x.q, m.k::BIGINT * 4294967296 + x.p AS r
-          FROM (SELECT w, p, t, lead(t) OVER o AS n, lead(p) OVER o AS q FROM {source}
-                WINDOW o AS (PARTITION BY w ORDER BY p)) x
+          FROM (SELECT w, p, t, CASE WHEN lead(w) OVER o = w THEN lead(t) OVER o END AS n, lead(p) OVER o AS q
+                FROM {source} WINDOW o AS (ORDER BY p)) x
           LEFT JOIN merges m ON x.t = m.a AND x.n = m.b),
     g AS (SELECT w, min(r) AS r, arg_min(q, r) AS gone FROM c GROUP BY w)
 """
@@ -42,7 +44,7 @@ WITH RECURSIVE s(w, p, t, live) AS (
         WITH {STEP.format(source="s WHERE live")}
         SELECT c.w, c.p, CASE WHEN c.r = g.r THEN (g.r // 4294967296)::INT ELSE c.t END, g.r IS NOT NULL
         FROM c JOIN g USING (w) WHERE g.gone IS NULL OR c.p <> g.gone)
-) SELECT w, t FROM s WHERE NOT live ORDER BY w, p
+) SELECT w, t FROM s WHERE NOT live ORDER BY p
 """
 
 #: One round for long words. ``hit``: the places of the least pair; in a run of overlapping ones every other.
@@ -102,10 +104,9 @@ class Coder:
 
     def _rows(self, texts: list[bytes]) -> pa.Table:
         size = np.array([len(x) for x in texts])
-        first = np.cumsum(size) - size
         return pa.table({
             "w": np.repeat(np.arange(len(texts), dtype=np.int32), size),
-            "p": (np.arange(int(size.sum())) - np.repeat(first, size)).astype(np.int32),
+            "p": np.arange(int(size.sum()), dtype=np.int32),
             "t": self.single[np.frombuffer(b"".join(texts), np.uint8)]})
 
     def contract(self, texts: list[bytes]) -> list[np.ndarray]:
