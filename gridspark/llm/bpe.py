@@ -14,6 +14,7 @@ new token ranks below it.
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 LONG = 256  # bytes of a word up to which the recursive query takes it
 WORDS = 12_000  # words a query
-KNOWN = 300_000  # words a worker remembers before it starts afresh
+KNOWN = 200_000  # words a worker remembers before it starts afresh
 ROWS = 400_000  # tokens a decoding query
 
 #: Neighbours of the rows of ``source`` with the merge that joins them, and each word's leftmost pair of least
@@ -72,7 +73,7 @@ class Coder:
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": "", "preserve_insertion_order": False})
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         a, b, k = [], [], []
@@ -102,6 +103,14 @@ class Coder:
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the tables only and hands freed memory back to the system."""
+        self._forget()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
     def _rows(self, texts: list[bytes]) -> pa.Table:
         size = np.array([len(x) for x in texts])
         return pa.table({
@@ -221,6 +230,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
                 more = [pa.array(c.decode_all(ids), pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i - first) for k in range(len(rest))), ids, *more], [*rest, "ids", *["decoded"] * decoded])
+        c.rest()
 
     return source.mapInArrow(run, schema)
 
