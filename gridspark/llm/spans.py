@@ -5,6 +5,11 @@ run of ``span`` consecutive sentences with at least ``min_words`` words is hashe
 after lower-casing A-Z, white space and line breaks aside). A span's first place is the
 one with the least (doc_id, sentence); the sentences of all its other places go, with the
 white space up to the next sentence.
+
+With ``passages`` the runs are, instead, from each sentence on and up to each sentence the
+shortest one with at least ``min_words`` words. A repeated passage of whole sentences and that
+many words is made up of such runs, so all of it is found, be it one long sentence or many
+short ones; what ``span`` finds is found too.
 """
 
 from __future__ import annotations
@@ -17,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACES, U, Block, blocks, mix, powers, runs, words
+from gridspark.llm.common import SPACES, U, Block, blocks, mix, powers, words
 
 
 @dataclass(frozen=True)
 class Settings:
     span: int = 2  # consecutive sentences
     min_words: int = 8  # a span of fewer words says little
+    passages: bool = False  # every passage of min_words or more, not only runs of span sentences
+
+    @property
+    def stride(self) -> int:
+        """More than the sentences of any run."""
+        return max(self.span, self.min_words) + 1
 
 
 LAST_ID = (1 << 63) - 1
@@ -60,21 +71,42 @@ def sentences(block: Block) -> Sentences:
     return Sentences(w.start[first], doc, np.arange(len(first)) - head, code, size)
 
 
+def _runs(x: Sentences, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First sentences and sentence counts of the runs that are looked up."""
+    n = len(x.doc)
+    total = np.concatenate([[0], np.cumsum(x.words)])
+    if not s.passages:
+        at = np.arange(max(n - s.span + 1, 0))
+        at = at[(x.doc[at] == x.doc[at + s.span - 1]) & (total[at + s.span] - total[at] >= s.min_words)]
+        return at, np.full(len(at), s.span)
+    least = max(s.min_words, 1)
+    until = np.searchsorted(total, total[:-1] + least)  # end of the shortest run from each sentence on
+    since = np.searchsorted(total, total[1:] - least, side="right") - 1  # start of the shortest run up to each sentence
+    on = np.flatnonzero(until <= np.searchsorted(x.doc, x.doc, side="right"))
+    up = np.flatnonzero((since >= np.searchsorted(x.doc, x.doc)) & (since >= 0))
+    up = up[until[since[up]] != up + 1]
+    return np.concatenate([on, since[up]]), np.concatenate([until[on] - on, up + 1 - since[up]])
+
+
+def _codes(x: Sentences, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of any length, from running sums."""
+    n = len(x.hash)
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, U), np.cumsum(x.hash * powers(n), dtype=U)])
+        return mix((run[at + size] - run[at]) * powers(n, inverse=True)[at] + mix(size.astype(U)))
+
+
 def _spans(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(2)):
                 x = sentences(b)
-                k = s.span
-                code = runs(x.hash, k, 23)
-                total = np.concatenate([[0], np.cumsum(x.words)])
-                ok = np.zeros(0, bool)
-                if len(code):
-                    ok = (x.doc[: len(code)] == x.doc[k - 1:]) & (total[k:] - total[:-k] >= s.min_words)
-                at = np.flatnonzero(ok)
+                at, size = _runs(x, s)
+                if not len(at):
+                    continue
                 rows = pa.array(x.doc[at] + b.first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[at].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.index[at], pa.int32())],
+                    [pa.array(_codes(x, at, size).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.index[at].astype(np.int64) * s.stride + size)],
                     ["span", "id", "tk", "at"])
 
     return run
@@ -93,9 +125,9 @@ def _cut(s: Settings):
                 continue
             start = sentences(b).start
             gone = np.zeros(len(start) + 1, bool)
-            at = np.asarray(at)
-            for j in range(s.span):
-                gone[at + j] = True
+            at, size = np.divmod(np.asarray(at), s.stride)
+            for j in range(int(size.max())):
+                gone[at[size > j] + j] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
             until = np.append(start, len(b.data))
             ends = until[edge].tolist()
@@ -127,9 +159,9 @@ def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keyed = documents.drop("cut_").withColumn("cut_", F.struct(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("tk")))
     slim = keyed.select("cut_.id", "cut_.tk", F.coalesce("text", F.lit("")).alias("text"))
-    spans = slim.mapInArrow(_spans(s), "span long, id long, tk long, at int")
-    # One number for (id, sentence) keeps the aggregate a hash aggregate.
-    spans = spans.withColumn("place", F.col("id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at"))
+    spans = slim.mapInArrow(_spans(s), "span long, id long, tk long, at long")
+    # One number for (id, sentence) keeps the aggregate a hash aggregate; places of a span are all of one length.
+    spans = spans.withColumn("place", F.col("id").cast("decimal(19,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("at"))
     first = spans.groupBy("span").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo < hi").select("span", "lo")
     gone = spans.join(first, "span").filter("place > lo").select("id", "tk", "at").distinct()
     gone = gone.groupBy("id", "tk").agg(F.collect_list("at").alias("places"))

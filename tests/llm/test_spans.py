@@ -69,3 +69,43 @@ def test_edges(spark):
 def test_given_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def brute_passages(rows, least=8):
+    """Every run of whole sentences with at least ``least`` words, of any length."""
+    docs = [split(t or "") for _, t in rows]
+    places, out = {}, []
+    runs = [[(i, j, tuple(tuple(w) for _, w in sents[i:j])) for i in range(len(sents)) for j in range(i + 1, len(sents) + 1)] for sents, _ in docs]
+    runs = [[(i, j, key) for i, j, key in r if sum(map(len, key)) >= least] for r in runs]
+    for (d, _), r in zip(rows, runs):
+        for i, _, key in r:
+            places.setdefault(key, set()).add((d is None, d or 0, i))
+    for (d, t), (sents, data), r in zip(rows, docs, runs):
+        gone = {k for i, j, key in r if min(places[key]) < (d is None, d or 0, i) for k in range(i, j)}
+        ends = [s for s, _ in sents[1:]] + [len(data)]
+        kept, here = b"", 0
+        for i in sorted(gone):
+            kept += data[here:sents[i][0]]
+            here = ends[i]
+        kept += data[here:]
+        out.append((d, None if t is None else kept.decode(), len(data) - len(kept)))
+    return sorted(out, key=str)
+
+
+def test_passages_brute_force(spark):
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12]))) + rng.choice([".", "!", "?", "\n"]) for _ in range(16)]
+    rows = [(k // 2 if k % 7 else k, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for k in range(80)]
+    assert run(spark, rows, passages=True) == brute_passages(rows)
+    assert run(spark, [], passages=True) == []
+
+
+def test_query_cuts_short_lines_and_single_sentences(spark, tmp_path):
+    from gridspark.llm.queries import QUERIES
+
+    short = "\n".join(f"Ater. WORD{k}!!" for k in range(20)) + "\n"
+    single = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, short), (2, "Something else.\n" + short + "Other end."), (3, single), (4, single), (5, "Before it.\n" + single + "\nAfter it.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in QUERIES["op6_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: len(short), 3: 0, 4: len(single), 5: len(single) + 1}
