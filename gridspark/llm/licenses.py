@@ -5,7 +5,10 @@ Words are ordered by how many documents hold them, rarest first. A line that mis
 |T| - c of a notice's words holds one of its first |T| - c + 1 (prefix filter), has at least c
 distinct words (length filter), and from the first word that both share on, it holds at
 least c of the notices' words (positional filter). What is left is counted exactly.
-Spark expressions only.
+
+With ``wrapped`` a notice may also run over line breaks: every window of as many consecutive
+words as the notice has, wherever its lines end, counts like a line. Only documents that hold
+enough of a notice's words at all are cut into lines and windows. Spark expressions only.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ class Settings:
     containment: float = 0.8
     phrases: tuple[tuple[str, str], ...] = PHRASES
     notices: tuple[tuple[str, str], ...] = NOTICES
+    wrapped: bool = False  # notices over line breaks too
 
 
 def lower_ascii(text: Column) -> Column:
@@ -85,6 +89,37 @@ def places(documents: DataFrame, s: Settings) -> DataFrame:
     return d.select("doc_id", "tk", "n_words", F.when(F.size("w") > 0, every).otherwise(none).alias("bases"))
 
 
+def _needs(s: Settings) -> Column:
+    """The notices as a constant: label, distinct words, how many of them are needed, words in all."""
+    rows = [(label, sorted(set(_split(text))), len(_split(text))) for label, text in s.notices]
+    return F.array(*[F.struct(F.lit(label).alias("label"), _lits(w).alias("words"), F.lit(ceil(s.containment * len(w) - 1e-9)).alias("need"), F.lit(n).alias("n"))
+                     for label, w, n in rows])
+
+
+def _likely(documents: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, tk, t of the documents that hold enough of some notice's words, anywhere."""
+    known = sorted({w for _, text in s.notices for w in _split(text)})
+    d = documents.select("doc_id", F.xxhash64("text").alias("tk"), lower_ascii(F.col("text")).alias("t"))
+    # A list of one, so that the words are cut once and not once a notice.
+    return d.filter(F.exists(F.array(F.array_intersect(_words(F.col("t")), _lits(known))), lambda have: F.exists(
+        _needs(s), lambda n: F.size(F.array_intersect(have, n["words"])) >= n["need"])))
+
+
+def wrapped(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, tk, label, containment of the best window for each notice that some window contains."""
+    d = _likely(documents, s).select("doc_id", "tk", _words(F.col("t")).alias("w"))
+    likely = F.filter(_needs(s), lambda n: F.size(F.array_intersect("w", n["words"])) >= n["need"])
+
+    def best(n: Column) -> Column:
+        # A window that does not begin with a word of the notice holds no more than the one from the next such word on.
+        at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(n["words"], F.get("w", i)))
+        return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice("w", i + 1, n["n"]), n["words"]))))
+
+    found = d.select("doc_id", "tk", F.explode(F.transform(likely, lambda n: F.struct(
+        n["label"].alias("label"), best(n).alias("k"), n["need"].alias("need"), F.size(n["words"]).alias("of")))).alias("x"))
+    return found.filter("x.k >= x.need").select("doc_id", "tk", "x.label", (F.col("x.k") / F.col("x.of")).alias("containment"))
+
+
 def notices(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, tk, line, notice (its number), label, containment of every line that contains a notice."""
     sets = [sorted(set(_split(text))) for _, text in s.notices]
@@ -104,7 +139,7 @@ def notices(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(rows, "first int, notice int, label string, need int, ranks array<int>"))  # one row a word of a prefix
     by_rank = sorted(rank, key=rank.get)
     early = _lits([by_rank[i] for i in sorted(prefix)])
-    lines = d.select("doc_id", "tk", F.posexplode(F.split("t", "\n")).alias("line", "block"))
+    lines = _likely(documents, s).select("doc_id", "tk", F.posexplode(F.split("t", "\n")).alias("line", "block"))
     lines = lines.select("doc_id", "tk", "line", F.array_distinct(_words(F.col("block"))).alias("w"))
     lines = lines.filter(F.arrays_overlap("w", early))
     lookup = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
@@ -119,12 +154,15 @@ def scan(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``documents``: doc_id, tk, n_words, bases, labels, score.
 
     ``bases``: places of the phrases; ``labels``: sorted labels of phrases and notices; ``score``: 1 with
-    a phrase, else the best containment of a line, else 0. Null and empty texts have none. Rows that
+    a phrase, else the best containment of a line (or window), else 0. Null and empty texts have none. Rows that
     share an id but not the text are told apart; repeated rows get the same result. Further
     columns are ignored.
     """
     base = places(documents, settings)
-    more = cut(notices(documents, settings).groupBy("doc_id", "tk").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))
+    found = notices(documents, settings).select("doc_id", "tk", "label", "containment")
+    if settings.wrapped:
+        found = found.union(wrapped(documents, settings))
+    more = cut(found.groupBy("doc_id", "tk").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))
     more = more.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
     both = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
     own = F.array_distinct(F.transform("bases", lambda b: b["label"]))

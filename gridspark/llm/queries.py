@@ -158,9 +158,9 @@ FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN la USING (doc_id) LEFT JOIN sc USIN
 
 @query("op5_license_scan", license_sql())
 def op5(spark, sf_dir):
-    from gridspark.llm.licenses import scan
+    from gridspark.llm.licenses import Settings, scan
 
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), Settings(wrapped=True))
     at = F.transform("bases", lambda b: b["at"])
     return found.select(
         "doc_id", "n_words", F.size("bases").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),

@@ -62,3 +62,42 @@ def test_given_documents(spark, sf):
     s = Settings()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert run(spark, rows) == sorted((brute(d, t, s) for d, t in rows), key=str)
+
+
+def test_query_finds_wrapped_notices(spark, tmp_path):
+    import textwrap
+
+    from gridspark.llm.queries import QUERIES
+
+    s = Settings()
+    rows, want = [], {}
+    for k, (label, text) in enumerate(s.notices):
+        body = "Some words before it. " + text + " and some more words after it that do not matter here"
+        rows.append((k, "\n".join("# " + x for x in textwrap.wrap(body, 24))))
+        want[k] = label
+    # All words of a notice, spread over a long paragraph.
+    rows.append((100, "\n".join(f"{x} filler one two three" for x in s.notices[9][1].split())))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert all(want[k] in got[k].labels.split(",") and got[k].score == 1.0 for k in want)
+    assert got[100].labels == "" and got[100].score == 0
+
+
+def test_windows_brute_force(spark):
+    rng, s = random.Random(9), Settings(wrapped=True)
+    pool = [x for _, t in s.notices for x in t.split()] + ["x1", "other"]
+    rows = []
+    for k in range(60):
+        text = [x for _ in range(rng.randrange(0, 4)) for x in rng.choice(s.notices)[1].split() + rng.choices(pool, k=3) if rng.random() > 0.1]
+        rows.append((k, "".join(x + rng.choice([" ", " ", "\n"]) for x in text)))
+    want = []
+    for d, t in rows:
+        _, n, base, labels, score = brute(d, t, s)
+        w = words(t)
+        for label, text in s.notices:
+            need = set(words(text))
+            k = max((len(need & set(w[i:i + len(words(text))])) for i in range(len(w))), default=0)
+            if k >= ceil(s.containment * len(need) - 1e-9):
+                labels, score = sorted({*labels, label}), max(score, round(k / len(need), 9))
+        want.append((d, n, base, labels, score))
+    assert run(spark, rows, s) == sorted(want, key=str)
