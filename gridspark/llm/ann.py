@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample, with a penalty on full clusters so tha
 out even. Every vector is indexed: in the list of its nearest centroid and, near a border, in
 further ones, unless a list already taken lies closer to that centroid than the vector does.
 A query walks a neighbour graph of the centroids in memory and reads the lists whose
-distance is within a ratio of the nearest. Long lists are split into parts, so no group grows
+distance is within a ratio of the nearest. How many lists that takes is measured: for a sample
+of queries the exact neighbours are found by brute force, and probes grow, beyond the ratio if
+need be, until the sample's recall is reached. Long lists are split into parts, so no group grows
 with the data. Equal vectors are one entry, so copies of a vector cost nothing. Scores are
 cosines of the original vectors in double precision.
 """
@@ -34,7 +36,9 @@ class Settings:
     copies: int = 4  # lists a vector is in at most
     ratio: float = 1.6  # lists that a query reads, by distance against the nearest
     least_probes: int = 8
-    most_probes: int = 32
+    most_probes: int = 32  # unless the measured recall asks for more
+    recall: float = 0.95  # of the sample's exact neighbours, found in the lists read
+    measured: int = 128  # queries of the sample
     links: int = 12  # neighbours of a centroid in the graph
     part: int = 2_048  # entries or queries of a list that are handled at a time
 
@@ -144,16 +148,66 @@ def _post(c: np.ndarray, s: Settings):
     return run
 
 
-def _probe(c: np.ndarray, s: Settings):
+def _exact(ids: np.ndarray, q: np.ndarray, k: int):
+    """The k nearest of a batch for each of the few queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(c, s.links)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sim = q @ _unit(_matrix(batch.column(1))).T
+            m = min(k + 1, sim.shape[1])
+            top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+            rows = pa.array(top.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.take_along_axis(sim, top, 1).ravel())], ["q", "key", "vec", "sim"])
+
+    return run
+
+
+def probes(entries: DataFrame, queries: DataFrame, c: np.ndarray, s: Settings) -> tuple[int, float]:
+    """How many lists a query reads at most, and up to which ratio, for the wanted recall on a sample of queries."""
+    if len(c) <= s.least_probes:
+        return s.most_probes, s.ratio
+    some = entries.join(queries.select("key").distinct(), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(s.measured).select("key", "vec").toArrow()
+    if not some.num_rows:
+        return s.most_probes, s.ratio
+    q = _unit(_matrix(some["vec"].combine_chunks()))
+    near = entries.mapInArrow(_exact(np.arange(len(q)), q, s.k), "q long, key binary, vec array<double>, sim double")
+    # The query itself is among its nearest.
+    near = near.filter(F.col("key") != F.element_at(F.array(*[F.lit(k) for k in some["key"].to_pylist()]), (F.col("q") + 1).cast("int")))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "key"))).filter(F.col("r") <= s.k)
+    posted = near.select(F.struct("q", "key").alias("key"), "vec").mapInArrow(_post(c, s), "list int, key struct<q: long, key: binary>, vec array<double>")
+    got = posted.select("list", "key.q", "key.key").toArrow().to_pylist()  # k neighbours of each query of the sample
+    dist = np.sqrt(np.maximum(2 - 2 * (q @ c.T), 0))
+    rank = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1)
+    # For each neighbour, the place of the first list that holds it, and whether the ratio lets it in.
+    first: dict = {}
+    for x in got:
+        at = (int(rank[x["q"], x["list"]]), float(dist[x["q"], x["list"]]))
+        first[x["q"], x["key"]] = min(first.get((x["q"], x["key"]), at), at)
+    if not first:
+        return s.most_probes, s.ratio
+    close = dist.min(1)
+    within = sorted(r for (i, _), (r, d) in first.items() if r < s.least_probes or d <= s.ratio * close[i])
+    need = int(np.ceil(s.recall * len(first)))
+    if len(within) >= need:
+        return max(s.most_probes, within[need - 1] + 1), s.ratio
+    return max(s.most_probes, sorted(r for r, _ in first.values())[need - 1] + 1), float("inf")
+
+
+def _probe(c: np.ndarray, s: Settings, most: int, ratio: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(c, s.links) if 2 * most < len(c) else None
         for batch in batches:
             if not batch.num_rows:
                 continue
             row, lists = [], []
             for i, q in enumerate(_unit(_matrix(batch.column(1)))):
-                near = graph.search(q, 2 * s.most_probes)
-                pick = [j for n, (d, j) in enumerate(near[: s.most_probes]) if n < s.least_probes or d <= s.ratio * near[0][0]]
+                if graph:
+                    near = graph.search(q, 2 * most)
+                else:  # a walk would see nearly all centroids
+                    dist = np.sqrt(np.maximum(2 - 2 * (c @ q), 0))
+                    near = [(float(dist[j]), int(j)) for j in np.argsort(dist, kind="stable")]
+                pick = [j for n, (d, j) in enumerate(near[:most]) if n < s.least_probes or d <= ratio * max(near[0][0], 1e-300)]
                 row += [i] * len(pick)
                 lists += pick
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(x.take(pa.array(row)) for x in batch.columns)], ["list", "key", "vec"])
@@ -218,7 +272,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", settings: Sett
     c = fit(_unit(sample), lists, s.rounds)
 
     posted = cut(entries.mapInArrow(_post(c, s), "list int, key binary, vec array<double>"))
-    asked = cut(entries.join(queries.select("key").distinct(), "key", "left_semi").mapInArrow(_probe(c, s), "list int, key binary, vec array<double>"))
+    asked = cut(entries.join(queries.select("key").distinct(), "key", "left_semi").mapInArrow(_probe(c, s, *probes(entries, queries, c, s)), "list int, key binary, vec array<double>"))
     parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.part).cast("int").alias(name))
     plan = F.broadcast(parts(posted, "np").join(parts(asked, "nq"), "list"))  # at most most_lists rows
     dealt = lambda df, own: df.join(plan, "list").withColumn(own, F.pmod(F.xxhash64("key"), F.col({"p": "np", "q": "nq"}[own])).cast("int"))

@@ -69,3 +69,9 @@ def test_recall_on_given_embeddings(spark):
     d = "/root/testdata/sf0.1"
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert recall(run(spark, rows), brute(rows)) >= 0.9
+
+
+def test_recall_over_hundreds_of_lists(spark):
+    rows = list(enumerate(np.random.default_rng(4).normal(size=(12_000, 64)).tolist()))
+    # 800 lists: 32 of them hold too few of the neighbours.
+    assert recall(run(spark, rows, Settings(list_size=15)), brute(rows)) >= 0.9
