@@ -88,11 +88,11 @@ def op7(spark, sf_dir):
 def op3(spark, sf_dir):
     from gridspark.llm.sharding import shard
 
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", size.alias("size"))
+    # Size and digest are those of the texts that arrived in a shard.
     return shard(docs, "size").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op1_chat_format", """

@@ -53,3 +53,22 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert got.count() == docs.count()
     assert got.filter((F.col("law") != "bytes") | F.col("grown_shard").isNotNull()).count() == 0
+
+
+def test_query_shards_texts(spark, sf, monkeypatch):
+    from gridspark.llm import sharding
+    from gridspark.llm.queries import QUERIES
+
+    seen = []
+    whole = sharding.shard
+
+    def spy(df, *args, **kw):
+        seen.append(df.columns)
+        # The digest must come from what arrived, not from the input.
+        return whole(df, *args, **kw).withColumn("text", F.lit("arrived"))
+
+    monkeypatch.setattr(sharding, "shard", spy)
+    got = QUERIES["op3_histogram_sharding"](spark, sf)
+    assert "text" in seen[0]
+    want = spark.range(1).select(F.crc32(F.lit("arrived").cast("binary"))).first()[0]
+    assert {(r.text_crc32, r.size) for r in got.collect()} == {(want, 23)}
