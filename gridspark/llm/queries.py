@@ -193,3 +193,49 @@ def op9(spark, sf_dir):
 
     docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "cut_.n_bytes", "cut_.n_removed", "cut_.n_spans", F.sha2("cut_.kept", 256).alias("kept_sha256"))
+
+
+def url_sql() -> str:
+    """Rules by a correlated choice, masses by a recursion over the rounds."""
+    from gridspark.llm.url_filter import LINK, LOWER, UPPER, Settings
+
+    s = Settings()
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in s.rules)
+    fold = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE ru(rh, rp, rv) AS (VALUES {rules}),
+q AS (SELECT page_id, html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, {fold("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+f AS (SELECT host, path, arg_max(rh || rp, 1000 * length(rh || rp) + length(rh)) AS rule, arg_max(rv, 1000 * length(rh || rp) + length(rh)) AS rv
+      FROM (SELECT DISTINCT host, path FROM h) AS x, ru WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+seeds AS (SELECT host, sum(CASE WHEN rv = 'allow' THEN {s.unit} ELSE 0 END)::BIGINT AS t, sum(CASE WHEN rv = 'block' THEN {s.unit} ELSE 0 END)::BIGINT AS b
+          FROM h JOIN f USING (host, path) WHERE host <> '' GROUP BY host),
+li AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all({fold("html")}, '{link}', 1))) AS dst FROM h),
+found AS (SELECT src, dst, count(*) AS n FROM li WHERE src <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT host FROM h WHERE host <> '' UNION SELECT dst FROM found),
+up(a) AS (SELECT host FROM hosts UNION SELECT substr(a, instr(a, '.') + 1) FROM up WHERE length(a) - length(replace(a, '.', '')) > 1),
+ki AS (SELECT a, substr(a, instr(a, '.') + 1) AS b FROM up WHERE length(a) - length(replace(a, '.', '')) > 1),
+e AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM found UNION ALL SELECT a, b, {s.kin} FROM ki UNION ALL SELECT b, a, {s.kin} FROM ki) GROUP BY src, dst),
+gi AS (SELECT src, sum(n) AS n FROM e GROUP BY src), ta AS (SELECT dst, sum(n) AS n FROM e GROUP BY dst),
+po AS (SELECT src, dst, max(tr) AS tr, max(di) AS di FROM (
+           SELECT src, dst, e.n::DOUBLE / gi.n::DOUBLE AS tr, 0.0::DOUBLE AS di FROM e JOIN gi USING (src)
+           UNION ALL SELECT dst, src, 0.0::DOUBLE, e.n::DOUBLE / ta.n::DOUBLE FROM e JOIN ta USING (dst)) GROUP BY src, dst),
+r(k, host, t, b) AS (
+    SELECT 0, host, t, b FROM seeds
+    UNION ALL
+    SELECT k + 1, host, t, b FROM (
+        SELECT min(k) AS k, po.dst AS host, sum(floor(t * {s.damping}::DOUBLE * tr)::BIGINT)::BIGINT AS t, sum(floor(b * {s.damping}::DOUBLE * di)::BIGINT)::BIGINT AS b
+        FROM r JOIN po ON r.host = po.src GROUP BY po.dst) WHERE k < {s.rounds} AND (t > 0 OR b > 0)),
+mass AS (SELECT host, sum(t)::BIGINT AS trust, sum(b)::BIGINT AS distrust FROM r GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN distrust > {s.threshold}::DOUBLE * trust THEN 'block' ELSE 'allow' END) AS verdict,
+    coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+FROM h LEFT JOIN f USING (host, path) LEFT JOIN mass USING (host)
+"""
+
+
+@query("op11_url_filter", url_sql())
+def op11(spark, sf_dir):
+    from gridspark.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
