@@ -239,3 +239,24 @@ def op11(spark, sf_dir):
     from gridspark.llm.url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
+
+
+@query("op13_ranked_search", r"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM t),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+it AS (SELECT item_id, w, count(*) AS qtf FROM i GROUP BY item_id, w),
+a AS (SELECT count(*)::BIGINT AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+p AS (SELECT row, doc_id, len(ws)::BIGINT AS n, unnest(ws) AS w FROM d),
+tf AS (SELECT row, doc_id, n, w, count(*)::BIGINT AS tf FROM p WHERE w IN (SELECT w FROM it) GROUP BY row, doc_id, n, w),
+df AS (SELECT w, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM tf, a GROUP BY w, nn),
+s AS (SELECT item_id, row, doc_id, sum(qtf * wt * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+      FROM it JOIN tf USING (w) JOIN df USING (w), a GROUP BY item_id, row, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+""")
+def op13(spark, sf_dir):
+    from gridspark.llm.ranking import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
