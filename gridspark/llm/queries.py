@@ -260,3 +260,38 @@ def op13(spark, sf_dir):
     from gridspark.llm.ranking import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def code_sql() -> str:
+    """The rounds one after the other, distances as sums over components."""
+    from gridspark.llm.codes import Settings
+
+    s = Settings()
+    near = """{a} (SELECT id, part, entry AS e, d FROM (
+        SELECT x.id, x.part, entry, sum((x.v - b.c) * (x.v - b.c))::BIGINT AS d, row_number() OVER (PARTITION BY x.id, x.part ORDER BY sum((x.v - b.c) * (x.v - b.c)), entry) AS k
+        FROM x JOIN {b} AS b USING (part, j) GROUP BY x.id, x.part, entry) WHERE k = 1)"""
+    steps = []
+    for k in range(s.rounds):
+        steps.append(near.format(a=f"a{k} AS MATERIALIZED", b=f"b{k}"))
+        steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.j, coalesce(m.c, b.c) AS c FROM b{k} AS b LEFT JOIN (
+            SELECT x.part, e AS entry, j, floor(sum(v)::DOUBLE / count(*))::BIGINT AS c FROM x JOIN a{k} USING (id, part) GROUP BY x.part, e, j) AS m USING (part, entry, j))""")
+    steps.append(near.format(a="a AS MATERIALIZED", b=f"b{s.rounds}"))
+    return f"""
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, embedding AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = len(embedding)),
+y AS (SELECT id, unnest(v) AS f, unnest(range(len(v))) AS i, len(v) // {s.parts} AS w FROM r),
+x AS MATERIALIZED (SELECT id, (i // w)::INT AS part, (i % w)::INT AS j, floor({s.scale} * f::DOUBLE)::BIGINT AS v FROM y),
+b0 AS MATERIALIZED (SELECT part, entry, j, v AS c FROM x JOIN (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM r ORDER BY vec_id LIMIT {s.entries}) USING (id)),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM b{s.rounds}),
+o AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN o USING (id), h
+"""
+
+
+@query("op12_vector_codes", code_sql())
+def op12(spark, sf_dir):
+    from gridspark.llm.codes import compress
+
+    found = compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.sha2(F.col("codebooks").cast("binary"), 256).alias("codebooks_sha256"))
