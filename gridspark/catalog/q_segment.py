@@ -9,6 +9,7 @@ from gridspark.catalog.fixtures import P64
 from gridspark.catalog.q_raster import NEAR3, SIZE
 from gridspark.catalog.registry import register
 from gridspark.layouts import with_size
+from gridspark.operators import contour as C
 from gridspark.operators import joins as J
 from gridspark.operators import ordering as O
 from gridspark.operators import segment as S
@@ -153,3 +154,32 @@ def _(spark, sf):
 def _(spark, sf):
     s = S.region_sizes(S.label_regions(X.pixels64(spark, sf).select("frame", "y", "x", "gt"), F.col("gt") <= 0))
     return O.quantiles(s, [], "size", [0.1, 0.5, 0.9], ["p10", "p50", "p90"])
+
+
+# Borders as cycles of (pixel, direction) states; a walker stops where an earlier side's walker would start.
+CONTOURS = f"""dr(k, dy, dx) AS (VALUES {", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(C.AROUND))}),
+ nb AS (SELECT a.frame, a.y, a.x, k FROM msk a, dr JOIN msk b ON b.frame = a.frame AND b.y = a.y + dy AND b.x = a.x + dx),
+ nk AS (SELECT p.frame, p.y, p.x, p.k AS d, arg_min(q.k, (q.k - p.k + 15) % 8) AS k FROM nb p JOIN nb q ON p.frame = q.frame AND p.y = q.y AND p.x = q.x GROUP BY ALL),
+ nx AS MATERIALIZED (SELECT frame, y, x, d, y + dy AS y2, x + dx AS x2, (nk.k + 4) % 8 AS d2 FROM nk JOIN dr USING (k)),
+ sd AS (SELECT a.frame, a.y, a.x, s, (a.y::BIGINT * {ROW} + a.x) * 2 + s AS ord FROM msk a, (SELECT unnest([0, 1]) AS s) WHERE NOT EXISTS (SELECT 1 FROM msk b WHERE b.frame = a.frame AND b.y = a.y AND b.x = a.x - 1 + 2 * s)),
+ ss AS MATERIALIZED (SELECT frame, y, x, d, min(ord) AS ord FROM (SELECT frame, y, x, ord, arg_min(k, (CASE WHEN s = 0 THEN 4 ELSE 0 END - k + 15) % 8) AS d FROM sd JOIN nb USING (frame, y, x) GROUP BY ALL) GROUP BY ALL),
+ wk AS (SELECT frame, ord, 0 AS n, y, x, d FROM ss UNION ALL
+   SELECT w.frame, w.ord, n + 1, y2, x2, d2 FROM wk w JOIN nx ON nx.frame = w.frame AND nx.y = w.y AND nx.x = w.x AND nx.d = w.d
+   LEFT JOIN ss ON ss.frame = w.frame AND ss.y = y2 AND ss.x = x2 AND ss.d = d2 WHERE ss.ord IS NULL OR ss.ord > w.ord),
+ fin AS (SELECT w.frame, w.ord, n AS last FROM wk w JOIN nx ON nx.frame = w.frame AND nx.y = w.y AND nx.x = w.x AND nx.d = w.d JOIN ss ON ss.frame = w.frame AND ss.y = y2 AND ss.x = x2 AND ss.d = d2 AND ss.ord = w.ord),
+ no AS (SELECT frame, ord, row_number() OVER (PARTITION BY frame ORDER BY ord) - 1 AS contour FROM (SELECT frame, ord FROM fin UNION ALL SELECT frame, ord FROM sd ANTI JOIN nb USING (frame, y, x) WHERE s = 0)),
+ ch AS MATERIALIZED (SELECT wk.frame, wk.ord, n, y, x FROM wk JOIN fin USING (frame, ord)),
+ iv AS (SELECT frame, ord, 0 AS a, last AS b FROM fin UNION ALL
+   SELECT frame, ord, u.a, u.b FROM (SELECT frame, ord, unnest([{{'a': a, 'b': m}}, {{'a': m, 'b': b}}]) AS u FROM (
+     SELECT iv.frame, iv.ord, iv.a, iv.b, any_value(q) AS q, max(f) AS f, arg_max(n, f * 100000 - n) AS m FROM (
+       SELECT iv.frame, iv.ord, iv.a, iv.b, p.n, (t.x - s.x) ** 2 + (t.y - s.y) ** 2 AS q, CASE WHEN t.x = s.x AND t.y = s.y THEN (p.x - s.x) ** 2 + (p.y - s.y) ** 2 ELSE ((p.x - s.x) * (t.y - s.y) - (p.y - s.y) * (t.x - s.x)) ** 2 END AS f
+       FROM iv JOIN ch p ON p.frame = iv.frame AND p.ord = iv.ord AND p.n > a AND p.n < b JOIN ch s ON s.frame = iv.frame AND s.ord = iv.ord AND s.n = a JOIN ch t ON t.frame = iv.frame AND t.ord = iv.ord AND t.n = b) AS iv
+     GROUP BY iv.frame, iv.ord, iv.a, iv.b) WHERE f > 4 * greatest(q, 1))),
+ co AS (SELECT frame, ord, n, row_number() OVER (PARTITION BY frame, ord ORDER BY n) - 1 AS piece FROM (SELECT frame, ord, a AS n FROM iv UNION SELECT frame, ord, b FROM iv)),
+ pc AS (SELECT frame, ord, piece, x AS x1, y AS y1, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM co JOIN ch USING (frame, ord, n) WINDOW o AS (PARTITION BY frame, ord ORDER BY piece))"""
+
+
+@register("contour_segments", "SEG-09", f"""WITH RECURSIVE {TREAD}, {CONTOURS}
+  SELECT frame, contour::INT AS contour, piece::INT AS piece, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM pc JOIN no USING (frame, ord) WHERE (x2 - x1) ** 2 + (y2 - y1) ** 2 >= 16""")
+def _(spark, sf):
+    return C.contour_segments(X.pixels64(spark, sf).select("frame", "y", "x", "cls"), F.col("cls") == 1, eps=2.0, min_len=4.0)

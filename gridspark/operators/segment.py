@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,31 +17,81 @@ from gridspark.session import cut
 ROW = 2147483648  # a label is y * ROW + x of the region's first pixel
 
 
-def label_regions(px: DataFrame, mask: Column, by: Sequence[str] = ("frame",), connect: int = 4) -> DataFrame:
+def _linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least member of each of ``n`` nodes' sets after joining all pairs ``(a, b)``."""
+    root = np.arange(n)
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def regions_of_tile(y: np.ndarray, x: np.ndarray, connect: int) -> np.ndarray:
+    """Position of the first pixel of each pixel's region; pixels are distinct and sorted by ``(y, x)``."""
+    opens = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)])
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(y)) - 1
+    run = np.cumsum(opens) - 1
+    # Runs of the row above that touch: those between the first that ends late enough and the last that starts early enough.
+    wide = int(x.max()) + 4
+    at, reach = y[first] * wide, 1 if connect == 8 else 0
+    lo = np.searchsorted(at + x[last], at - wide + x[first] - reach, side="left")
+    hi = np.searchsorted(at + x[first], at - wide + x[last] + reach, side="right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(first)), n)
+    above = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return first[_linked(above, below, len(first))[run]]
+
+
+def _tile_nodes(connect: int):
+    @F.arrow_udf("array<bigint>")
+    def nodes(ys: pa.Array, xs: pa.Array) -> pa.Array:
+        y, x, offsets = ys.flatten().to_numpy(), xs.flatten().to_numpy(), np.diff(ys.offsets.to_numpy(), prepend=0).cumsum()
+        offsets -= offsets[0]
+        out = np.empty(len(y), np.int64)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            yy, xx = y[a:b].astype(np.int64), x[a:b].astype(np.int64)
+            head = regions_of_tile(yy - yy[0], xx - xx.min() + 1, connect)
+            out[a:b] = yy[head] * ROW + xx[head]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+
+    return nodes
+
+
+def label_regions(px: DataFrame, mask: Column, by: Sequence[str] = ("frame",), connect: int = 4, tile: int = 256) -> DataFrame:
     """Masked pixels with the label of their region (its smallest ``(y, x)``).
 
-    Pixels are first joined to row runs, so the graph has one node per run.
-    Labels then spread by "take the smallest neighbour, jump to the label's
-    label" until nothing changes; every round is cut by a reliable checkpoint.
+    Frames are cut into tiles of ``tile`` by ``tile`` pixels. A tile's runs of pixels are joined by
+    union-find in one pass, so what is left is a graph of regions that touch across tile borders.
+    Its labels spread by "take the smallest neighbour, jump to the label's label" until nothing
+    changes: rounds follow the tiles that a region crosses, and frames within one tile need none.
+    Every round is stored in the shared folder.
     """
     if connect not in (4, 8):
         raise ValueError("connect is 4 or 8")
     by = list(by)
-    m = px.where(mask)
-    row = W.partitionBy(*by, "y").orderBy("x")
-    starts = F.coalesce(F.lag("x").over(row) != F.col("x") - 1, F.lit(True))
-    m = m.withColumn("_s", F.when(starts, F.col("x")))
-    m = m.withColumn("_s", F.last("_s", ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0)))
-    m = cut(m.withColumn("node", F.col("y").cast("bigint") * ROW + F.col("_s")).drop("_s"))
-    look = m.select(*by, "y", "x", "node", F.lit(True).alias("_real"))
-    if connect == 8:
-        ends = m.groupBy(*by, "y", "node").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
-        ends = ends.select(*by, "y", F.explode(F.array(F.col("_a") - 1, F.col("_b") + 1)).alias("x"), "node", F.lit(False).alias("_real"))
-        look = look.unionByName(ends)
-    above = F.max(F.when(F.col("_real"), F.col("node"))).over(W.partitionBy(*by, "x").orderBy("y").rangeBetween(-1, -1))
-    e = look.select(*by, "node", above.alias("other")).where("other is not null").distinct()
+    rest = [c for c in px.columns if c not in (*by, "y", "x")]
+    at = [F.floor(F.col(c) / tile).alias(f"_t{c}") for c in ("y", "x")]
+    tiles = px.where(mask).groupBy(*by, *at).agg(F.sort_array(F.collect_list(F.struct("y", "x", *rest))).alias("_r"))
+    tiles = tiles.withColumn("_n", _tile_nodes(connect)(F.col("_r.y"), F.col("_r.x")))
+    seen = Observation()
+    pixels = tiles.select(*by, F.explode(F.arrays_zip("_r", "_n")).alias("_p")).select(
+        *by, "_p._r.y", "_p._r.x", *[F.col("_p._r")[c].alias(c) for c in rest], F.col("_p._n").alias("node"))
+    m = cut(pixels.observe(seen, F.max(F.greatest("y", "x")).alias("far"), F.min(F.least("y", "x")).alias("near")))
+    spread = seen.get
+    if spread["far"] is None or spread["near"] >= 0 and spread["far"] < tile:
+        return m.select(*px.columns, F.col("node").alias("label"))
+    on = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = m.where(on("y") | on("x")).select(*by, "y", "x", "node")
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connect == 8 else [])
+    moved = border.select(*by, F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("_s"), F.col("node").alias("other"))
+    e = border.join(moved.select(*by, "_s.y", "_s.x", "other"), [*by, "y", "x"]).where("node <> other").select(*by, "node", "other").distinct()
     e = cut(e.unionByName(e.select(*by, F.col("other").alias("node"), F.col("node").alias("other"))))
-    lab = m.select(*by, "node").distinct().withColumn("label", F.col("node"))
+    lab = e.select(*by, "node").distinct().withColumn("label", F.col("node"))
     while True:
         near = e.join(lab.select(*by, F.col("node").alias("other"), "label"), [*by, "other"]).groupBy(*by, "node").agg(F.min("label").alias("_n"))
         new = lab.join(near, [*by, "node"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("label", "_n").alias("_m"))
@@ -48,9 +100,9 @@ def label_regions(px: DataFrame, mask: Column, by: Sequence[str] = ("frame",), c
         # the write itself counts the changes, so no second pass is needed
         seen = Observation()
         lab = cut(new.observe(seen, F.count_if("moved").alias("n"))).drop("moved")
-        if seen.get["n"] == 0:
+        if not seen.get["n"]:
             break
-    return m.join(lab, [*by, "node"]).drop("node")
+    return m.join(lab, [*by, "node"], "left").withColumn("label", F.coalesce("label", "node")).select(*px.columns, "label")
 
 
 def region_sizes(labelled: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
