@@ -28,7 +28,7 @@ def latest_per_hash(stream: DataFrame, key: str, order: str) -> DataFrame:
     return g.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def run_to_table(stream: DataFrame, key: str | None = None, place: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, key: str | None = None, place: str | None = None, report: dict | None = None) -> DataFrame:
     """Drain what is available into a stored table and read it back.
 
     ``place`` names a folder for output and progress: a later call with the same one resumes where this
@@ -36,6 +36,7 @@ def run_to_table(stream: DataFrame, key: str | None = None, place: str | None =
     Without ``key`` rows are appended. With it the stream runs in update mode:
     each micro-batch stores only the keys it changed, under its own number (a
     replayed batch overwrites itself), and reading takes a key's newest batch.
+    ``report`` receives ``late``, the rows dropped behind the watermark, and ``state``, the rows of state left.
     """
     spark = stream.sparkSession
     base = place.rstrip("/") if place else _place(spark, "stream")
@@ -48,7 +49,12 @@ def run_to_table(stream: DataFrame, key: str | None = None, place: str | None =
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    w.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    query = w.outputMode("update").foreachBatch(keep).start()
+    query.awaitTermination()
+    if report is not None:
+        steps = [p.stateOperators for p in query.recentProgress if p.stateOperators]
+        report["late"] = sum(o.numRowsDroppedByWatermark for s in steps for o in s)
+        report["state"] = sum(o.numRowsTotal for o in steps[-1]) if steps else 0
     number = T.StructField("batch", T.LongType())
     rows = spark.read.schema(T.StructType([*stream.schema.fields, number])).parquet(out) if _holds_files(spark, out) else spark.createDataFrame([], T.StructType([*stream.schema.fields, number]))
     rest = [c for c in stream.columns if c != key]
