@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.catalog import fixtures as X
 from gridspark.catalog.fixtures import FILES, LOG, P8, P64, PAIRS, STREAMS, u_sql
 from gridspark.catalog.q_pixels import AGGS, CFG, MET, SCORED
-from gridspark.catalog.registry import register
+from gridspark.catalog.registry import REGISTRY, register
 from gridspark.functions import scalar as S
 from gridspark.operators import augment as A
 from gridspark.operators import geometry as G
@@ -19,6 +23,7 @@ from gridspark.sources import decode as D
 from gridspark.sources import index as I
 from gridspark.sources import registry as RG
 from gridspark.sources import sinks as K
+from gridspark.session import checkpoint_root
 
 
 def _docs(spark, sf):
@@ -58,7 +63,7 @@ def _(spark, sf):
   SELECT source || '/' || doc_id AS sample_id, source AS seq, 'data/' || source || '/image/' || doc_id || '.png' AS image, 'data/' || source || '/sparse_depth/' || doc_id || '.png' AS sparse_depth, 'data/' || source || '/ground_truth/' || doc_id || '.png' AS ground_truth FROM i JOIN labels USING (doc_id) WHERE k % 3 = 0""")
 def _(spark, sf):
     p = lambda k: F.concat(F.lit("data/"), source(), F.lit(f"/{k}/"), doc_text(), F.lit(".png"))
-    return I.sequence_index(listing(_docs(spark, sf), (p("image"), None), (p("sparse_depth"), None), (p("ground_truth"), _lab(spark, sf))), "src1", 3)
+    return RG.build_index("void_stairs", listing(_docs(spark, sf), (p("image"), None), (p("sparse_depth"), None), (p("ground_truth"), _lab(spark, sf))), "src1", 3)
 
 
 @register("index_scene_cameras", "SRC-03", """SELECT source || '/CAM' || (doc_id % 3) || '/' || doc_id AS sample_id, source AS scene, 'CAM' || (doc_id % 3) AS camera, doc_id::VARCHAR AS stamp, source || '/CAM' || (doc_id % 3) || '_RGB/' || doc_id || '_rgb_cam' || (doc_id % 3) || '.png' AS rgb,
@@ -67,13 +72,13 @@ def _(spark, sf):
     c = (F.col("doc_id") % 3).cast("string")
     rgb = F.concat(source(), F.lit("/CAM"), c, F.lit("_RGB/"), doc_text(), F.lit("_rgb_cam"), c, F.lit(".png"))
     dep = F.concat(source(), F.lit("/CAM"), c, F.lit("_GDEP/"), doc_text(), F.lit("_grey_depth_cam"), c, F.lit(".png"))
-    return I.scene_camera_index(listing(_docs(spark, sf), (rgb, None), (dep, _lab(spark, sf))), ["src1", "src2", "src3"], ["CAM0", "CAM1"])
+    return RG.build_index("minjiang", listing(_docs(spark, sf), (rgb, None), (dep, _lab(spark, sf))), ["src1", "src2", "src3"], ["CAM0", "CAM1"])
 
 
 @register("index_numbered_shots", "SRC-04", "SELECT 's' || doc_id AS sample_id, doc_id::INT AS num, 's' || doc_id || '_rgb.png' AS rgb, 's' || doc_id || '_depth_aligned_to_rgb.png' AS depth, 's' || doc_id || '_mask_aligned_valid.png' AS mask FROM documents JOIN labels USING (doc_id)")
 def _(spark, sf):
     p = lambda k: F.concat(F.lit("s"), doc_text(), F.lit(f"_{k}.png"))
-    return I.numbered_shot_index(listing(_docs(spark, sf), (p("rgb"), None), (p("depth_aligned_to_rgb"), None), (p("mask_aligned_valid"), _lab(spark, sf))))
+    return RG.build_index("ours", listing(_docs(spark, sf), (p("rgb"), None), (p("depth_aligned_to_rgb"), None), (p("mask_aligned_valid"), _lab(spark, sf))))
 
 
 @register("index_trajectories", "SRC-05", """WITH i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY 'root/' || source || '/rgb/' || doc_id || '.png') - 1 AS k FROM documents WHERE source LIKE 'src12%' OR source LIKE 'src13%')
@@ -81,7 +86,7 @@ def _(spark, sf):
   FROM (SELECT * FROM i WHERE k % 2 = 0) i LEFT JOIN labels l ON l.doc_id = i.doc_id""")
 def _(spark, sf):
     p = lambda k: F.concat(F.lit("root/"), source(), F.lit(f"/{k}/"), doc_text(), F.lit(".png"))
-    return I.trajectory_index(listing(_docs(spark, sf), (p("rgb"), None), (p("gt"), None), (p("d435"), _lab(spark, sf))), scenes=["src12", "src13"], stride=2)
+    return RG.build_index("hammer", listing(_docs(spark, sf), (p("rgb"), None), (p("gt"), None), (p("d435"), _lab(spark, sf))), scenes=["src12", "src13"], stride=2)
 
 
 @register("index_json_lists", "SRC-06", "SELECT 'f' || doc_id || '.h5' AS sample_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
@@ -97,7 +102,7 @@ def _(spark, sf):
   'data/upsampling/Validation/' || source || '/lowres_depth/' || doc_id || '.png' AS lr FROM documents JOIN labels USING (doc_id)""")
 def _(spark, sf):
     p = lambda k: F.concat(F.lit("data/upsampling/Validation/"), source(), F.lit(f"/{k}/"), doc_text(), F.lit(".png"))
-    return I.triple_index(listing(_docs(spark, sf), (p("highres_depth"), None), (p("wide"), None), (p("lowres_depth"), _lab(spark, sf))), "test")
+    return RG.build_index("arkitscenes", listing(_docs(spark, sf), (p("highres_depth"), None), (p("wide"), None), (p("lowres_depth"), _lab(spark, sf))), "test")
 
 
 @register("index_camera_frames", "SRC-08", """WITH i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id % 2 ORDER BY lpad(doc_id::VARCHAR, 6, '0')) - 1 AS k FROM documents), b AS (SELECT *, 'ai_' || source AS scene, 'ai_' || source || '/images/scene_cam_0' || (doc_id % 2) AS d, lpad(doc_id::VARCHAR, 6, '0') AS n FROM i WHERE k % 2 = 0)
@@ -107,19 +112,19 @@ def _(spark, sf):
     n = F.lpad(doc_text(), 6, "0")
     g = lambda k: F.concat(d, F.lit("_geometry_hdf5/frame."), n, F.lit(f".{k}.hdf5"))
     rgb = F.concat(d, F.lit("_final_preview/frame."), n, F.lit(".color.jpg"))
-    return I.camera_frame_index(listing(_docs(spark, sf), (g("depth_meters"), None), (rgb, None), (g("normal_cam"), _lab(spark, sf))), stride=2)
+    return RG.build_index("hypersim", listing(_docs(spark, sf), (g("depth_meters"), None), (rgb, None), (g("normal_cam"), _lab(spark, sf))), stride=2)
 
 
 @register("index_positional", "SRC-09", "SELECT printf('nyu_%04d', k) AS sample_id, k AS pos, vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) WHERE k >= 20 AND k < 400")
 def _(spark, sf):
-    return I.positional_index(X.table(spark, sf, "embeddings").select("vec_id"), ["vec_id"], 20, 400).select("sample_id", "pos", "vec_id")
+    return RG.build_index("nyuv2", X.table(spark, sf, "embeddings").select("vec_id"), ["vec_id"], 20, 400).select("sample_id", "pos", "vec_id")
 
 
 @register("index_paired_lists", "SRC-10", "SELECT lower('RGBD_' || page_id) AS sample_id, 'RGBD_' || page_id || '_output_color.png' AS rgb, 'rgbd_' || page_id || '_output_depth.png' AS depth FROM pages")
 def _(spark, sf):
     p = X.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("i"))
     a = p.select(F.concat(F.lit("RGBD_"), "i", F.lit("_output_color.png")).alias("path"))
-    return I.paired_index(a.unionByName(p.select(F.concat(F.lit("rgbd_"), "i", F.lit("_output_depth.png")).alias("path"))))
+    return RG.build_index("middlebury", a.unionByName(p.select(F.concat(F.lit("rgbd_"), "i", F.lit("_output_depth.png")).alias("path"))))
 
 
 @register("index_with_depth_range", "SRC-11 PRJ-12", """SELECT doc_id::VARCHAR AS sample_id, doc_id::INT AS num, 'img/color_' || doc_id || '.png' AS rgb, 'dep/Depth_' || doc_id || '.png' AS depth, 100.0 + doc_id AS dmin, 100.0 + doc_id + n_chars AS dmax FROM documents WHERE n_chars <= 3000""", "dmin dmax")
@@ -127,7 +132,7 @@ def _(spark, sf):
     d = _docs(spark, sf)
     f = listing(d, (F.concat(F.lit("img/color_"), doc_text(), F.lit(".png")), None), (F.concat(F.lit("dep/Depth_"), doc_text(), F.lit(".png")), None))
     e = d.select(F.concat(F.lit("ext/Extrinsics_"), doc_text(), F.lit(".txt")).alias("path"), F.concat(F.lit(" "), (100 + F.col("doc_id")).cast("string"), F.lit("  "), (100 + F.col("doc_id") + F.col("n_chars")).cast("string"), F.lit("\n")).alias("value"))
-    return I.ranged_index(f, e, 3000)
+    return RG.build_index("rgbd_stair", f, e, 3000)
 
 
 @register("index_label_lines", "SRC-12", """SELECT doc_id AS sample_id, CASE WHEN quality IS NULL THEN 0 ELSE 2 END AS n_lines, CASE WHEN quality IS NULL THEN 0 ELSE doc_id * 2 + 1.5 END AS x_sum FROM documents LEFT JOIN labels USING (doc_id)""", "x_sum")
@@ -263,6 +268,39 @@ def _(spark, sf):
     return RG.build_index("ours", f, docs="how the shots were taken").select("sample_id")
 
 
+#: Loader key -> the registered query that builds its listing and looks the loader up by the key.
+BY_KEY = {"void_stairs": "index_sequences", "minjiang": "index_scene_cameras", "ours": "index_numbered_shots", "hammer": "index_trajectories", "arkitscenes": "index_triples",
+          "hypersim": "index_camera_frames", "nyuv2": "index_positional", "middlebury": "index_paired_lists", "lu": "index_paired_lists", "rgbd_stair": "index_with_depth_range"}
+
+
+@register("loader_registry_all", "SRC-34 UDF-04", " UNION ALL ".join(f"SELECT '{k}' AS loader, sample_id FROM ({REGISTRY[q].sql})" for k, q in BY_KEY.items()))
+def _(spark, sf):
+    if set(BY_KEY) != set(RG.LOADERS):
+        raise ValueError("a loader key has no listing")
+    return reduce(DataFrame.unionByName, [REGISTRY[q].run(spark, sf).select(F.lit(k).alias("loader"), "sample_id") for k, q in BY_KEY.items()])
+
+
+@register("frame_listing_source", "UDF-04", "SELECT source AS sequence, count(DISTINCT lang) AS n_files, count(*) FILTER (n_chars IS NOT NULL) > 0 AS filled FROM documents WHERE source IN ('src1', 'src3', 'src11') GROUP BY source")
+def _(spark, sf):
+    # a folder per sequence and a file per language, then listed again by the data source
+    root = f"{checkpoint_root(spark).rstrip('/')}/gridspark-tree-{uuid.uuid4().hex}"
+    d = X.table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars")
+    d.repartition("source", "lang").sortWithinPartitions("source", "lang").withColumn("language", F.col("lang")).write.partitionBy("source", "language").parquet(root)
+    files = RG.list_frames(spark, root).where(F.col("sequence").isin("source=src1", "source=src3", "source=src11") & F.endswith("path", F.lit(".parquet")))
+    return files.where(~F.contains("path", F.lit("/."))).groupBy(F.substring_index("sequence", "=", -1).alias("sequence")).agg(
+        F.count_distinct(F.substring_index(F.substring_index("path", "/", 2), "/", -1)).alias("n_files"), (F.sum("length") > 0).alias("filled"))
+
+
+@register("transactional_run_log", "SRC-25", f"WITH {LOG} SELECT (pos % 3)::VARCHAR AS run, stamp AS \"timestamp\", experiment, dataset, method, '' AS notes, n_samples::VARCHAR AS n_samples FROM log")
+def _(spark, sf):
+    from gridspark.sources import runlog
+    rows = X.results_log(spark, sf).withColumnRenamed("stamp", "timestamp")
+    place = f"{checkpoint_root(spark).rstrip('/')}/gridspark-log-{uuid.uuid4().hex}"
+    for k in (0, 1, 2, 1):  # the replay of a run adds nothing
+        runlog.append_run(K.fixed_columns(rows.where(F.col("pos") % 3 == k)), place, str(k))
+    return runlog.read_runs(spark, place, K.SUMMARY_COLUMNS).select("run", "timestamp", "experiment", "dataset", "method", "notes", "n_samples")
+
+
 @register("topic_messages", "SRC-35", "SELECT event_type AS topic, epoch_us(ts) AS stamp_us, event_id FROM events WHERE event_type IN ('view', 'click')")
 def _(spark, sf):
     e = X.table(spark, sf, "events").select(F.col("event_type").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp_us"), "event_id")
