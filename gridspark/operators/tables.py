@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from gridspark.functions.keyed import uniform
 from gridspark.operators.ordering import carried, ranked
@@ -70,22 +73,37 @@ def value_gaps(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return c.where("_prev is not null").select(*keys, (F.col(value) - F.col("_prev")).alias("gap"))
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def _apart(frames: pa.Array, gap: pa.Array, most: pa.Array) -> pa.Array:
+    """Which frames, best first, are at least ``gap`` from all accepted before."""
+    out = []
+    for row, g, k in zip(frames.to_pylist(), gap.to_pylist(), most.to_pylist(), strict=True):
+        held, got = [], []
+        for f in row:
+            i = bisect_left(held, f)
+            fits = len(held) < k and (i == len(held) or held[i] - f >= g) and (i == 0 or f - held[i - 1] >= g)
+            if fits:
+                held.insert(i, f)
+            got.append(fits)
+        out.append(got)
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def greedy_with_gap(scores: DataFrame, group: str, frame: str, score: str, per_group: int, gap: int, top: int) -> DataFrame:
     """Best first per group, at least ``gap`` frames apart, then the overall top.
 
-    Acceptance depends on the same group only, so it is ``per_group`` rounds of
-    "take the best, drop its neighbours": each round is a max that combines
-    before the shuffle, and no group is gathered.
+    A frame that is accepted keeps out at most ``2 * gap - 2`` others, so ``per_group`` are accepted
+    among a group's ``per_group * (2 * gap - 1)`` best frames. A rank filter keeps these, Spark
+    applies it before the shuffle, and one pass over this bounded list decides. ``frame`` holds whole
+    numbers; of rows of one frame the best counts, equal scores are ordered by frame.
     """
-    left = scores
-    picked = None
-    order = F.struct(F.col(score), -F.col(frame))
-    for _ in range(per_group):
-        best = left.groupBy(group).agg(F.max_by(F.struct(*[c for c in scores.columns if c != group]), order).alias("_b"))
-        row = best.select(group, *[F.col("_b")[c].alias(c) for c in scores.columns if c != group])
-        picked = row if picked is None else picked.unionByName(row)
-        near = row.select(group, F.col(frame).alias("_f"))
-        left = left.join(near, group).where(F.abs(F.col(frame) - F.col("_f")) >= gap).drop("_f")
+    rest = [c for c in scores.columns if c not in (group, frame)]
+    one = scores.groupBy(group, frame).agg(F.max_by(F.struct(*rest), F.struct(score, *rest)).alias("_r"))
+    best = W.partitionBy(group).orderBy(F.col(f"_r.{score}").desc(), frame)
+    few = one.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= per_group * max(2 * gap - 1, 1))
+    lists = few.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_k", F.col(frame).alias("_f"), "_r"))).alias("_l"))
+    kept = lists.select(group, F.explode(F.arrays_zip("_l", _apart(F.col("_l._f").cast("array<bigint>"), F.lit(gap), F.lit(per_group)).alias("_ok"))).alias("_p")).where("_p._ok")
+    picked = kept.select(group, F.col("_p._l._f").alias(frame), *[F.col("_p._l._r")[c].alias(c) for c in rest]).select(*scores.columns)
     return picked.orderBy(F.col(score).desc(), group, frame).limit(top)
 
 
