@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,6 +279,8 @@ def _emit(buckets: int, s: Settings):
     bits = int(buckets).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block's name is its partition and its number there: blocks of equal rows stay apart.
+        task, block = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for b in blocks(batch.column(2)):
                 doc, _, _, low = window_runs(b, s)
@@ -288,13 +291,13 @@ def _emit(buckets: int, s: Settings):
                 docs, local = np.unique(doc, return_inverse=True)
                 rows = pa.array(docs + b.first)
                 ids, tks = batch.column(0).take(rows), batch.column(1).take(rows)
-                name = int(mix(np.array([(ids.to_numpy() * 31 + tks.to_numpy()).sum() + len(docs)]).view(U)).view(np.int64)[0])
+                name, block = task | block, block + 1
                 order = np.argsort(low)
                 low, local, ordinal = low[order], local[order].astype(np.uint16), ordinal[order]
                 to = (low >> U(64 - bits)).astype(np.int64)
                 cuts = np.searchsorted(to, np.arange(buckets + 1))
                 code = ((low << U(bits)) >> U(32)).astype(np.uint32)
-                out = [(abs(name) % buckets, name, None, None, None, ids.to_pylist(), tks.to_pylist())]
+                out = [(name % buckets, name, None, None, None, ids.to_pylist(), tks.to_pylist())]
                 out += [(k, name, code[x:y].tobytes(), local[x:y].tobytes(), ordinal[x:y].tobytes(), None, None) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "block", "code", "doc", "at", "ids", "tks"])

@@ -107,3 +107,13 @@ def test_edges(spark):
 def test_given_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_repeated_rows_in_another_order_over_partitions(spark):
+    rng = random.Random(8)
+    pool = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) for _ in range(9)]
+    rows = [(k, " ".join(rng.choice(pool) if rng.random() < 0.6 else str(rng.random()) for _ in range(5))) for k in range(40)]
+    twice = rows + rows[::-1]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(twice, 2), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.cut_.n_bytes, r.cut_.n_removed, r.cut_.n_spans, hashlib.sha256(bytes(r.cut_.kept)).hexdigest()) for r in dedup(df).collect()), key=str)
+    assert got == brute(twice)
