@@ -118,8 +118,8 @@ class Coder:
             "p": np.arange(int(size.sum()), dtype=np.int32),
             "t": self.single[np.frombuffer(b"".join(texts), np.uint8)]})
 
-    def contract(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word."""
+    def contract(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words one after the other, and how many each word has."""
         if max(map(len, texts)) <= LONG:
             self.db.register("fresh", self._rows(texts))
             got = self.db.sql(ENCODE).to_arrow_table()
@@ -134,31 +134,28 @@ class Coder:
                 self.db.execute(LONG_STEP)
                 self.db.execute("CREATE OR REPLACE TEMP TABLE cur AS SELECT * FROM nxt")
             got = self.db.sql("SELECT w, t FROM cur ORDER BY w, p").to_arrow_table()
-        w, t = got["w"].to_numpy(), got["t"].to_numpy()
-        return np.split(t, np.searchsorted(w, np.arange(1, len(texts))))
+        return got["t"].to_numpy(), np.bincount(got["w"].to_numpy(), minlength=len(texts))
 
     def _learn(self, fresh: list[str]) -> None:
         fresh = [(x, x.encode()) for x in fresh]
         short = [x for x in fresh if len(x[1]) <= LONG]
         groups = [short[i: i + WORDS] for i in range(0, len(short), WORDS)] + [[x] for x in fresh if len(x[1]) > LONG]
         for group in groups:
-            for (word, _), ids in zip(group, self.contract([x[1] for x in group]), strict=True):
-                n, k = len(self.known), len(ids)
-                if self.used + k > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), k), np.int32)])
-                if n == len(self.start):
-                    self.start, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size))
-                self.flat[self.used: self.used + k] = ids
-                self.start[n], self.size[n] = self.used, k
-                self.known[word] = n
-                self.used += k
-
-    def encode(self, text: str) -> np.ndarray:
-        words = self.pattern.findall(text)
+            ids, size = self.contract([x[1] for x in group])
+            n, end, used = len(self.known), len(self.known) + len(group), self.used + len(ids)
+            if used > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+            if end > len(self.start):
+                self.start, self.size = (np.concatenate([v, np.zeros(max(len(v), len(group)), np.int64)]) for v in (self.start, self.size))
+            self.flat[self.used: used] = ids
+            self.start[n:end], self.size[n:end] = self.used + np.cumsum(size) - size, size
+            self.known.update(zip((x[0] for x in group), range(n, end), strict=True))
+            self.used = used
+
+    def encode(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.int32)
-        known = self.known
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[at] - ends + size, size)]
@@ -166,33 +163,27 @@ class Coder:
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > KNOWN:
             self._forget()
-        fresh: set[str] = set()
-        for x in texts:
-            fresh.update(self.pattern.findall(x))
-        fresh -= self.known.keys()
+        words = list(map(self.pattern.findall, texts))
+        fresh = set().union(*words) - self.known.keys()
         if fresh:
             self._learn(sorted(fresh))
-        return map(self.encode, texts)
+        return map(self.encode, words)
 
     def decode_all(self, ids: pa.ListArray) -> list[bytes]:
         """Bytes of each list of ids; unknown ids are an error."""
-        out = [b""] * len(ids)
-        i = 0
-        ends = ids.offsets.to_numpy()
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + ROWS, side="right")) - 1)
-            part = ids.slice(i, j - i)
-            t = part.flatten().to_numpy()
-            size = np.diff(ends[i: j + 1])
-            self.db.register("given", pa.table({"d": np.repeat(np.arange(j - i, dtype=np.int32), size), "p": np.arange(len(t), dtype=np.int64), "t": t}))
+        out: list[list[bytes]] = [[] for _ in range(len(ids))]
+        ends, t = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+        for a in range(0, len(t), ROWS):  # a long text is decoded in pieces, which are joined in order
+            part = t[a: a + ROWS]
+            d = (np.searchsorted(ends, np.arange(a, a + len(part)), side="right") - 1).astype(np.int32)
+            self.db.register("given", pa.table({"d": d, "p": np.arange(len(part), dtype=np.int64), "t": part}))
             got = self.db.sql("SELECT d, string_agg(hex, '' ORDER BY p) AS h, count(hex) AS n FROM given LEFT JOIN vocab USING (t) GROUP BY d").to_arrow_table()
             self.db.unregister("given")
-            for d, h, n in zip(got["d"].to_pylist(), got["h"].to_pylist(), got["n"].to_pylist(), strict=True):
-                if n != size[d]:
-                    raise ValueError("an id is not in the vocabulary")
-                out[i + d] = bytes.fromhex(h)
-            i = j
-        return out
+            if got["n"].to_numpy().sum() != len(part):
+                raise ValueError("an id is not in the vocabulary")
+            for k, h in zip(got["d"].to_pylist(), got["h"].to_pylist(), strict=True):
+                out[k].append(bytes.fromhex(h))
+        return list(map(b"".join, out))
 
 
 @lru_cache(maxsize=1)

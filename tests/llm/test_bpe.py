@@ -76,3 +76,17 @@ def test_query_digests(spark, sf, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_a_long_text_is_decoded_in_pieces(coder):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(1_400_000))
+    texts = ["first", text, "", "last one"]
+    import numpy as np
+    import pyarrow as pa
+
+    parts = list(coder.encode_all(texts))
+    assert len(parts[1]) > 2_000_000
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
+    assert coder.decode_all(ids) == [t.encode() for t in texts]
+    assert coder.decode_all(ids.slice(2, 2)) == [b"", b"last one"]
