@@ -9,7 +9,8 @@ from gridspark.catalog.fixtures import N8, P8, P64
 from gridspark.catalog.q_raster import HOLED_N, NEAR3, guided_sql, holed_normals
 from gridspark.catalog.q_segment import regions_sql
 from gridspark.catalog.q_tables import CAMS, cameras
-from gridspark.catalog.registry import register
+from gridspark.catalog.q_pixels import AGGS, CFG
+from gridspark.catalog.registry import REGISTRY, register
 from gridspark.functions import scalar as S
 from gridspark.operators import geometry as G
 from gridspark.operators import raster as R
@@ -315,3 +316,38 @@ def _(spark, sf):
 def _(spark, sf):
     from gridspark.plans.evaluate import alignment_sweep
     return alignment_sweep(X.pixels64(spark, sf).select("frame", "y", "x", "gt"), CAM64, ROT, (0.05, -0.01, 0.0), CAM64, DIST, (64, 64), (0.01, 0.02, 0.05))
+
+
+ESTIMATORS = {"constant": "normals_constant", "cross_product": "normals_cross_product", "facing": "normals_facing_camera"}
+
+
+@register("normal_estimators_all", "UDF-03", " UNION ALL ".join(f"SELECT '{k}' AS estimator, frame, count(*) FILTER (ok) AS n, avg(nz) AS nz FROM ({REGISTRY[q].sql}) GROUP BY frame" for k, q in ESTIMATORS.items()), "nz")
+def _(spark, sf):
+    from functools import reduce
+
+    from gridspark.functions.estimators import NORMALS
+    if set(NORMALS) != set(ESTIMATORS):
+        raise ValueError("an estimator has no frames")
+    small, large = X.pixels8(spark, sf).select("frame", "y", "x", "gt"), X.pixels64(spark, sf).select("frame", "y", "x", "gt")
+    given = {"constant": (small, {}), "cross_product": (small, {"depth_edge_rel": 0.3}), "facing": (large, {"max_rel_jump": 0.4})}
+    rows = [NORMALS[k](px, "gt", CAM64 if px is large else CAM8, **more).groupBy("frame").agg(F.count_if("n_ok").alias("n"), F.avg("nz").alias("nz")).select(F.lit(k).alias("estimator"), "frame", "n", "nz")
+            for k, (px, more) in given.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+ZONED = STEP.replace("WITH RECURSIVE ", "") + """, sc AS (SELECT frame, gt AS g, least(greatest(pred, 0.1::DOUBLE), 3.5::DOUBLE) AS p, cls, conf, (gt > 0.1 AND gt < 3.5) AS valid FROM pix)"""
+
+
+@register("zone_report", "BMK-02 AGG-15", f"""WITH RECURSIVE {ZONED}, z AS (SELECT frame, g, p, q.zone AS zone, (valid AND q.inside) AS valid FROM (SELECT *, unnest([{{'zone': 'full', 'inside': true}}, {{'zone': 'stairs', 'inside': cls > 0}}, {{'zone': 'edge', 'inside': conf >= 0.8}}]) AS q FROM sc)),
+  fr AS (SELECT frame, zone, {AGGS} FROM z GROUP BY frame, zone), zs AS (SELECT zone, avg(absrel) FILTER (NOT isnan(absrel)) AS absrel, avg(rmse) FILTER (NOT isnan(rmse)) AS rmse, avg(delta1) FILTER (NOT isnan(delta1)) AS delta1, count(*) FILTER (NOT isnan(absrel)) AS n FROM fr GROUP BY zone),
+  mi AS (SELECT count(*) AS n_frames, avg(m) AS input_invalid_frac FROM (SELECT frame, avg((e2 < 0)::INT) AS m FROM pix GROUP BY frame)), er AS (SELECT {ERR} FROM sg g JOIN sp p USING (frame, step)),
+  md AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) FILTER (NOT isnan({c})) AS step_{c}" for c in ("rise_abs", "rise_rel", "run_abs", "run_rel"))} FROM er)
+  SELECT {", ".join(f"(SELECT {c} FROM zs WHERE zone = '{z}') AS {z}_{c}" for z in ("full", "stairs", "edge") for c in ("absrel", "rmse", "delta1", "n"))}, n_frames, input_invalid_frac, step_rise_abs, step_rise_rel, step_run_abs, step_run_rel FROM mi, md""",
+          " ".join(f"{z}_{c}" for z in ("full", "stairs", "edge") for c in ("absrel", "rmse", "delta1")) + " input_invalid_frac step_rise_abs step_rise_rel step_run_abs step_run_rel")
+def _(spark, sf):
+    from gridspark.plans.evaluate import zone_report
+    px = X.pixels64(spark, sf)
+    errors = G.step_geometry_error(_step_px(spark, sf), F.col("e") > 0.02, up64(spark, sf), CAM64, 3, 8)
+    zones = {"full": F.lit(True), "stairs": F.col("cls") > 0, "edge": F.col("conf") >= 0.8}
+    _, doc = zone_report(px, zones, CFG, errors, F.col("e2") < 0)
+    return doc.select(*[F.col(f"{z}.{c}").alias(f"{z}_{c}") for z in zones for c in ("absrel", "rmse", "delta1", "n")], "n_frames", "input_invalid_frac", "step_rise_abs", "step_rise_rel", "step_run_abs", "step_run_rel")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import asdict
 from functools import reduce
+from hashlib import sha1
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -338,6 +341,27 @@ def _(spark, sf):
     return s.select("absrel", "rmse", "delta1", "n_samples", "holes_frac", "holes_absrel", "valid_rmse", "valid_delta1")
 
 
+RUN = {"dataset.name": "mosaics", "eval.max_depth": "3.5", "model.name": "half", "seed": "0", "notes": "not hashed"}
+RUN_HASH = sha1("\n".join(f"{k}={v}" for k, v in sorted(RUN.items()) if k != "notes").encode()).hexdigest()[:12]
+
+
+@register("evaluation_logged", "BMK-01 SRC-25", f"""WITH {P8}, sc AS (SELECT frame, gt AS g, least(greatest(gt * 0.9 + 0.1, 0.1::DOUBLE), 3.5::DOUBLE) AS p, (gt > 0.1 AND gt < 3.5) AS valid, conf < 0.7 AS seen FROM pix WHERE frame % 50 <> 7),
+  fr AS (SELECT frame, {AGGS} FROM sc GROUP BY frame), rg AS (SELECT seen, {AGGS}, count(*) FILTER (valid) AS n FROM sc GROUP BY seen)
+  SELECT 'run-1' AS run, 'mosaics' AS dataset, 'half' AS method, '{RUN_HASH}' AS config_hash, '{json.dumps(asdict(CFG), sort_keys=True)}' AS metric_config, count(*)::BIGINT AS n_samples, (SELECT count(DISTINCT frame) FROM pix WHERE frame % 50 = 7)::BIGINT AS n_unreadable,
+   avg(absrel) AS absrel, avg(rmse) AS rmse, avg(delta1) AS delta1, (SELECT n FROM rg WHERE NOT seen) / (SELECT sum(n) FROM rg)::DOUBLE AS holes_frac, (SELECT rmse FROM rg WHERE NOT seen) AS holes_rmse, (SELECT delta1 FROM rg WHERE seen) AS valid_delta1 FROM fr""", "absrel rmse delta1 holes_frac holes_rmse valid_delta1")
+def _(spark, sf):
+    from gridspark.layouts import pixels_to_frames
+    from gridspark.sources import runlog
+    px = X.pixels8(spark, sf).select("frame", "y", "x", "gt", F.col("gt").alias("sparse"), (F.col("conf") < 0.7).alias("seen"))
+    frames = pixels_to_frames(px, ["gt", "sparse", "seen"]).withColumn("sparse", F.when(F.col("frame") % 50 != 7, F.col("sparse")))
+    _, row = E.logged_evaluation(frames, _half, CFG, RUN, {"dataset": "mosaics", "method": "half", "degradation": "none"}, "seen")
+    place = f"{checkpoint_root(spark).rstrip('/')}/gridspark-log-{uuid.uuid4().hex}"
+    runlog.append_run(K.fixed_columns(row), place, "run-1")
+    back = runlog.read_runs(spark, place, K.SUMMARY_COLUMNS)
+    return back.select("run", "dataset", "method", "config_hash", "metric_config", F.col("n_samples").cast("bigint").alias("n_samples"), F.col("n_unreadable").cast("bigint").alias("n_unreadable"),
+                       *[F.col(c).cast("double").alias(c) for c in ("absrel", "rmse", "delta1", "holes_frac", "holes_rmse", "valid_delta1")])
+
+
 @register("zone_evaluation_documents", "BMK-02", f"""WITH {PAIRS} SELECT row_id, frame, max(value) FILTER (zone = 'full' AND metric = 'absrel') AS full_absrel, max(value) FILTER (zone = 'edge' AND metric = 'rmse') AS edge_rmse, max(value) FILTER (zone = 'stairs' AND metric = 'delta1') AS stairs_delta1 FROM runs WHERE NOT isnan(value) GROUP BY ALL""", "full_absrel edge_rmse stairs_delta1")
 def _(spark, sf):
     from gridspark.plans.evaluate import zone_document

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.catalog import fixtures as X
 from gridspark.catalog.fixtures import FILES, LOG, P8, P64, PAIRS, STEPS, STREAMS, u_sql
-from gridspark.catalog.registry import register
+from gridspark.catalog.registry import REGISTRY, register
 from gridspark.functions import scalar as S
 from gridspark.functions.keyed import normal, uniform
 from gridspark.operators import joins as J
@@ -621,6 +621,25 @@ def _(spark, sf):
     return R.report_table(_named(spark, sf), "^(m0|m1|m2)_", pub, X.report_inputs(spark))
 
 
+def _regional(df):
+    t = F.col("experiment").endswith("_l515") | F.col("experiment").endswith("_tof")
+    return df.withColumns({c: F.when(t & (F.col("dataset") != "nyuv2"), F.round(F.col("rmse") * k, 9).cast("string")).otherwise("n/a") for k, c in enumerate(R.REGION_COLUMNS, 1)})
+
+
+LINES = ", ".join(f"CASE WHEN has THEN CASE WHEN (experiment LIKE '%\\_l515' ESCAPE '\\' OR experiment LIKE '%\\_tof' ESCAPE '\\') AND dataset <> 'nyuv2' THEN round(rmse * {k}, 9) END END AS {c}" for k, c in enumerate(R.REGION_COLUMNS, 1))
+
+
+@register("report_with_regions", "BMK-09", f"""WITH {NAMED}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY stamp DESC, pos DESC) AS k FROM named) WHERE k = 1 AND regexp_matches(experiment, '^m')),
+  t AS (SELECT key, sort_rank, protocol FROM ({REGISTRY["report_by_dataset"].sql.replace("^(m0|m1|m2)_", "^m")})),
+  j AS (SELECT *, bool_or((ends_with(experiment, '_l515') OR ends_with(experiment, '_tof')) AND dataset <> 'nyuv2') OVER (PARTITION BY dataset) AS has FROM l JOIN t ON t.key = l.experiment)
+  SELECT dataset, experiment AS key, has AS has_regions, {LINES}, row_number() OVER (PARTITION BY dataset ORDER BY sort_rank NULLS FIRST, protocol, method NOT IN ('m1', 'm2'), method, experiment) AS line FROM j""", " ".join(R.REGION_COLUMNS))
+def _(spark, sf):
+    log = _regional(_named(spark, sf))
+    none = spark.createDataFrame([], "p_experiment string, p_rmse double, p_factor double")
+    t = R.with_regions(R.report_table(log, "^m", none, X.report_inputs(spark)), log, ["m1", "m2"])
+    return t.select("dataset", "key", "has_regions", *R.REGION_COLUMNS, F.col("line").cast("bigint").alias("line"))
+
+
 @register("domain_gap", "AGG-36 BMK-10", f"""WITH {NAMED}, l AS (SELECT experiment, absrel, rmse FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY stamp DESC, pos DESC) AS k FROM named) WHERE k = 1),
   s AS (SELECT * FROM (VALUES (0, 'D435', 'm0_hammer', 'm1_hammer'), (1, 'L515', 'm0_hammer_l515', 'm1_hammer_l515'), (2, 'ToF', 'm0_hammer_tof', 'm1_absent')) v(i, sensor, a, b)),
   j AS (SELECT s.i, s.sensor, m.absrel, m.rmse, r.absrel AS raw_absrel, r.rmse AS raw_rmse FROM s LEFT JOIN l m ON m.experiment = s.a LEFT JOIN l r ON r.experiment = s.b)
@@ -660,6 +679,14 @@ def _(spark, sf):
     return R.mined_candidates(s, "traj", "frame", "score", 2, 500, 50)
 
 
+@register("mined_split", "BMK-14 TOP-10 SRC-28", f"""WITH c AS ({REGISTRY["greedy_gap_suppression"].sql}), k AS (SELECT traj || '/' || frame AS id FROM c WHERE rank <= 12 OR rank BETWEEN 20 AND 25 OR rank = 31)
+  SELECT 'hypersim' AS dataset, 'stairs' AS split, 0::BIGINT AS part, '{{"dataset":"hypersim","split":"stairs","ids":[' || string_agg('"' || id || '"', ',' ORDER BY id) || ']}}' AS doc FROM k""")
+def _(spark, sf):
+    c = REGISTRY["greedy_gap_suppression"].run(spark, sf).withColumn("id", F.concat_ws("/", "traj", F.col("frame").cast("string")))
+    said = spark.createDataFrame([("1-12 20-25",), ("31 2",)], "text string")
+    return R.accepted_split(c, said, "id", "hypersim", "stairs").select("dataset", "split", F.col("part").cast("bigint").alias("part"), "doc")
+
+
 @register("markdown_table", "SRC-27", f"""WITH {LOG}, m AS (SELECT dataset, method, avg(absrel) AS absrel, count(*) AS n FROM log GROUP BY ALL)
   SELECT row_number() OVER (ORDER BY dataset, method) + 2 AS line_no, '| ' || dataset || ' | ' || method || ' | ' || CASE WHEN method = 'm3' THEN 'n/a' WHEN method = 'm2' THEN '' ELSE printf('%.4f', absrel) END || ' | ' || n || ' |' AS line FROM m
   UNION ALL SELECT 1, '| dataset | method | absrel | n |' UNION ALL SELECT 2, '|---|---|---|---|'""")

@@ -156,3 +156,56 @@ def zone_document(runs: DataFrame) -> DataFrame:
     val = lambda z, m: F.max(F.when((F.col("zone") == z) & (F.col("metric") == m) & ~F.isnan("value"), F.col("value"))).alias(m)
     doc = F.struct(*[F.struct(*[val(z, m) for m in ("absrel", "rmse", "delta1")]).alias(z) for z in zones])
     return runs.groupBy("row_id", "frame").agg(doc.alias("doc"))
+
+
+def zone_report(px: DataFrame, zones: dict[str, Column], cfg: M.MetricConfig, steps: DataFrame | None = None, missing: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents per frame, and the one document of the evaluation.
+
+    Per frame: ``frame`` and a struct of absrel, rmse, delta1 for each zone. The document: per zone the
+    averages over frames and ``n``, how many frames have the zone; ``n_frames``; ``input_invalid_frac``,
+    the mean over frames of the share of ``missing`` pixels; ``step_*``, the medians of ``steps``
+    (see ``geometry.step_geometry_error``) over all frames and steps. Without ``steps`` or
+    ``missing`` their fields are null.
+    """
+    names = ("absrel", "rmse", "delta1")
+    rows = M.zone_rows(px, zones, cfg)
+    pick = lambda z, c: F.max(F.when(F.col("zone") == z, F.col(c)))
+    frames = rows.groupBy("frame").agg(*[F.struct(*[pick(z, c).alias(c) for c in names]).alias(z) for z in zones])
+    pooled = zone_summary(rows)
+    out = pooled.agg(*[F.struct(*[pick(z, c).alias(c) for c in (*names, "n")]).alias(z) for z in zones])
+    gap = F.avg(missing.cast("double")) if missing is not None else F.lit(None).cast("double")
+    share = px.groupBy("frame").agg(gap.alias("_gap")).agg(F.count(F.lit(1)).alias("n_frames"), F.avg("_gap").alias("input_invalid_frac"))
+    out = out.join(share, F.lit(True))  # one row each
+    kinds = ("rise_abs", "rise_rel", "run_abs", "run_rel")
+    if steps is None:
+        out = out.withColumns({f"step_{k}": F.lit(None).cast("double") for k in kinds})
+    else:
+        out = out.join(step_medians(steps).withColumnsRenamed({k: f"step_{k}" for k in kinds}), F.lit(True))
+    return frames, out
+
+
+def logged_evaluation(frames: DataFrame, fn, cfg: M.MetricConfig, leaves: dict[str, str], info: dict[str, str], measured: str | None = None, modality: str = "sparse") -> tuple[DataFrame, DataFrame]:
+    """From a predictor to the rows per sample and the row of the results log, in one plan.
+
+    ``frames``: packed, with ``gt``, the predictor's input and the flag array ``measured``. A frame
+    whose input is null could not be read: it is left out and counted in ``n_unreadable``; if none is left
+    the job fails. ``leaves``: the configuration as dotted paths, from which the row's hash is made.
+    ``info``: dataset, split, method and what else the log has a column for.
+    """
+    import json
+    from dataclasses import asdict
+
+    from gridspark.functions.scalar import config_hash
+    from gridspark.layouts import frames_to_pixels
+    from gridspark.sources.sinks import SUMMARY_COLUMNS
+
+    arrays = ["gt", modality, *([measured] if measured else [])]
+    read = frames.where(F.col(modality).isNotNull())
+    px = frames_to_pixels(predict(read, fn, modality), [*arrays, "pred"])
+    rows, summary = evaluate(px, cfg, F.col(measured) if measured else None)
+    counts = frames.agg(F.count(F.lit(1)).alias("_all"), F.count(modality).alias("_read"))
+    bad = F.when((F.col("_read") == 0) & (F.col("_all") > 0), F.raise_error(F.lit("no sample could be read")).cast("bigint")).otherwise(F.col("_all") - F.col("_read"))
+    known = F.create_map(*[F.lit(x) for kv in leaves.items() for x in kv])
+    fixed = {**{k: F.lit(v) for k, v in info.items()}, "metric_config": F.lit(json.dumps(asdict(cfg), sort_keys=True)), "config_hash": config_hash(known)}
+    row = counts.join(summary, F.lit(True)).withColumn("n_unreadable", bad).drop("_all", "_read").withColumns(fixed)
+    return rows, row.select(*[c for c in SUMMARY_COLUMNS if c in row.columns])

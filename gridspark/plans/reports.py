@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import scalar as S
 from gridspark.operators import tables as T
+from gridspark.operators.ordering import ranked
 from gridspark.operators.projection import lenient_double
+from gridspark.sources.sinks import split_list
 
 
 def run_matrix(datasets: Sequence[str], methods: Sequence[str], spark) -> DataFrame:
@@ -104,6 +106,27 @@ def report_table(log: DataFrame, include: str, published: DataFrame, inputs: Dat
         S.stamp_day(F.col("stamp")).cast("string").alias("day"))
 
 
+# Columns that a run has where the sensor's own holes were scored apart.
+REGION_COLUMNS = ("holes_frac", "holes_absrel", "holes_rmse", "holes_delta1", "valid_absrel", "valid_rmse", "valid_delta1")
+
+
+def with_regions(table: DataFrame, log: DataFrame, neural: Sequence[str], adhoc: str = "adhoc", floors: dict | None = None) -> DataFrame:
+    """A report table with its region columns and the order of its rows within a dataset.
+
+    A dataset shows the region columns (``has_regions``) if any of its rows has an error in holes; elsewhere
+    they are null. ``line``: by the input's rank and label, networks before reference floors, method, key.
+    """
+    latest = T.latest_per_experiment(log, adhoc, floors)
+    more = latest.select("key", *[lenient_double(F.col(c).cast("string")).alias(c) for c in REGION_COLUMNS if c in latest.columns])
+    t = table.join(more, "key", "left")
+    for c in REGION_COLUMNS:
+        if c not in t.columns:
+            t = t.withColumn(c, F.lit(None).cast("double"))
+    shows = t.groupBy("dataset").agg(F.max(F.col("holes_rmse").isNotNull()).alias("has_regions"))
+    t = t.join(shows, "dataset").withColumns({c: F.when(F.col("has_regions"), F.col(c)) for c in REGION_COLUMNS})
+    return ranked(t.withColumn("_floor", ~F.col("method").isin(*neural)), ["dataset"], ["sort_rank", "protocol", "_floor", "method", "key"], "line").drop("_floor")
+
+
 def missing_experiments(configured: DataFrame, latest: DataFrame, include: str) -> DataFrame:
     return configured.where(F.col("key").rlike(include)).join(latest.select("key"), "key", "left_anti")
 
@@ -135,6 +158,18 @@ def mined_candidates(scores: DataFrame, group: str, frame: str, score: str, per_
     return kept.withColumn("rank", F.row_number().over(w))
 
 
+def accepted_split(candidates: DataFrame, tokens: DataFrame, ident: str, dataset: str, split: str) -> DataFrame:
+    """The split list of the candidates whose ranks a reviewer accepted (``1 2 5-9``); unknown ranks fail.
+
+    ``tokens``: rows of a text column; ranks named twice count once. Ids are listed in their own order.
+    """
+    asked = T.parse_ranks(tokens)
+    seen = asked.join(candidates.select("rank", ident), "rank", "left")
+    known = F.when(F.col(ident).isNull(), F.raise_error(F.concat(F.lit("no such rank: "), F.col("rank").cast("string"))).cast("string")).otherwise(F.col(ident))
+    rows = seen.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), known.alias("id"), known.alias("_order"))
+    return split_list(rows, "_order", "id")
+
+
 def table_title(rows: DataFrame, order: Sequence[str], limit: int = 120) -> DataFrame:
     """``<methods>__<datasets>`` in first-seen order, file-safe."""
     def names(c: str) -> DataFrame:
