@@ -8,6 +8,7 @@ or one document, whichever is more; memory follows the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,5 +152,13 @@ def text_key(text: Column | str) -> Column:
     return F.unhex(F.md5(t.cast("binary")))
 
 
+def hand_back() -> None:
+    """Give freed memory of a worker back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packed(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import BLOCK_BYTES, SPACES, U, Block, blocks, constants, mix, runs, words
+from gridspark.llm.common import BLOCK_BYTES, SPACES, U, Block, blocks, constants, hand_back, mix, runs, words
 from gridspark.llm.links import components
 from gridspark.session import cut
 
@@ -201,6 +201,7 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hand_back()  # what earlier stages and batches left in the worker
             for b in blocks(batch.column(2)):
                 flat, at = shingle_sets(b, s.n)
                 sids, sizes = set_ids(flat, at), np.diff(at)
@@ -232,6 +233,7 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
 
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: documents (kind 0: id, set, size), pairs to verify (kind 1) and meeting points of three or more (kind 2)."""
+    hand_back()
     kind, a, b, n, tk, bits = [], [], [], [], [], []
 
     def add(k: int, x, y, z, t=None, p=None) -> None:
@@ -309,6 +311,7 @@ def _across(s: Settings):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        hand_back()
         point, sid, part, n = (table[c].to_numpy() for c in ("point", "sid", "part", "n"))
         bits = table["bits"].to_pylist()
         low = np.full((len(sid), FEW), np.iinfo(np.int64).max)
