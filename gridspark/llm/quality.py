@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import FOLD, MARKS, Block, U, blocks, distinct_sorted, mix, words
+from gridspark.llm.common import FOLD, MARKS, Block, U, blocks, distinct_sorted, hand_back, mix, words
 from gridspark.session import cut
 
 BITS = 19  # the upper half of the buckets is for word beginnings
@@ -213,6 +213,7 @@ def evidence(m: Model) -> Column:
 
     @F.arrow_udf("good double, toxic double")
     def judge(texts: pa.Array) -> pa.Array:
+        hand_back()  # what earlier stages and batches left in the worker
         g, t = score(m, texts)
         return pa.StructArray.from_arrays([pa.array(g), pa.array(t)], ["good", "toxic"])
 
