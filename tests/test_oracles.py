@@ -7,11 +7,9 @@ from gridspark.catalog.registry import oracle, runner
 from tools.check_oracles import compare
 
 QUERIES = load()
-# iterative regions in SQL are slow; the value tests below cover these operators at this size
-SLOW = {"edge_cleaning", "connected_regions_8", "clean_class_masks_opened", "step_error_medians", "step_geometry_error", "glare_holes"}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, sf, name):
     q = QUERIES[name]
     df = runner(q)(spark, sf)
