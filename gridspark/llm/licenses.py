@@ -7,8 +7,9 @@ distinct words (length filter), and from the first word that both share on, it h
 least c of the notices' words (positional filter). What is left is counted exactly.
 
 With ``wrapped`` a notice may also run over line breaks: every window of as many consecutive
-words as the notice has, wherever its lines end, counts like a line. Only documents that hold
-enough of a notice's words at all are cut into lines and windows. Spark expressions only.
+words as the notice has, wherever its lines end, counts like a line. One pass cuts every text into
+words and stores what it finds; only the texts that hold enough of a notice's words at all are
+stored too and cut into lines and windows. Spark expressions only.
 """
 
 from __future__ import annotations
@@ -70,10 +71,15 @@ def _lits(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def places(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, tk, n_words, bases: array<struct<at, label>> of every place of a phrase."""
+def read(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, tk, n_words, bases, have, t: all that one pass over the texts finds; stored.
+
+    ``bases``: array<struct<at, label>> of every place of a phrase; ``have``: the notices' words that the text
+    holds; ``t``: the text in lower case where these suffice for some notice, else null.
+    """
+    known = sorted({w for _, text in s.notices for w in _split(text)})
     d = documents.select("doc_id", F.xxhash64("text").alias("tk"), lower_ascii(F.col("text")).alias("t"))
-    # Only texts that hold a phrase as a string are cut into words.
+    # Places are sought only in texts that hold a phrase as a string.
     rough = reduce(lambda a, b: a | b, [
         F.contains("t", F.lit(p.split()[-1])) & F.contains("t", F.lit(p.split()[0])) & F.rlike("t", F.lit(GAP.join(p.split()))) for p, _ in s.phrases])
 
@@ -84,9 +90,13 @@ def places(documents: DataFrame, s: Settings) -> DataFrame:
         return F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    d = d.select("doc_id", "tk", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.when(rough, _words(F.col("t"))).alias("w"))
     every = F.concat(*[found(p, label) for p, label in s.phrases])
-    return d.select("doc_id", "tk", "n_words", F.when(F.size("w") > 0, every).otherwise(none).alias("bases"))
+    # The words are used several times below, so Spark keeps this projection apart and cuts them once.
+    d = d.select("doc_id", "tk", "t", _words(F.col("t")).alias("w"))
+    d = d.select("doc_id", "tk", "t", F.size("w").cast("long").alias("n_words"), F.when(rough & (F.size("w") > 0), every).otherwise(none).alias("bases"),
+                 F.array_intersect("w", _lits(known)).alias("have"))
+    likely = F.exists(_needs(s), lambda n: F.size(F.array_intersect("have", n["words"])) >= n["need"])
+    return cut(d.select("doc_id", "tk", "n_words", "bases", "have", F.when(likely, F.col("t")).alias("t")))
 
 
 def _needs(s: Settings) -> Column:
@@ -96,18 +106,9 @@ def _needs(s: Settings) -> Column:
                      for label, w, n in rows])
 
 
-def _likely(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, tk, t of the documents that hold enough of some notice's words, anywhere."""
-    known = sorted({w for _, text in s.notices for w in _split(text)})
-    d = documents.select("doc_id", F.xxhash64("text").alias("tk"), lower_ascii(F.col("text")).alias("t"))
-    # A list of one, so that the words are cut once and not once a notice.
-    return d.filter(F.exists(F.array(F.array_intersect(_words(F.col("t")), _lits(known))), lambda have: F.exists(
-        _needs(s), lambda n: F.size(F.array_intersect(have, n["words"])) >= n["need"])))
-
-
-def wrapped(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, tk, label, containment of the best window for each notice that some window contains."""
-    d = _likely(documents, s).select("doc_id", "tk", _words(F.col("t")).alias("w"))
+def wrapped(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, tk, label, containment of the best window for each notice that some window of ``read``'s texts contains."""
+    d = texts.filter("t is not null").select("doc_id", "tk", _words(F.col("t")).alias("w"))
     likely = F.filter(_needs(s), lambda n: F.size(F.array_intersect("w", n["words"])) >= n["need"])
 
     def best(n: Column) -> Column:
@@ -120,15 +121,14 @@ def wrapped(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     return found.filter("x.k >= x.need").select("doc_id", "tk", "x.label", (F.col("x.k") / F.col("x.of")).alias("containment"))
 
 
-def notices(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, tk, line, notice (its number), label, containment of every line that contains a notice."""
+def notices(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, tk, line, notice (its number), label, containment of every line of ``read``'s texts that contains a notice."""
     sets = [sorted(set(_split(text))) for _, text in s.notices]
     known = sorted({w for x in sets for w in x})
-    d = documents.select("doc_id", F.xxhash64("text").alias("tk"), lower_ascii(F.col("text")).alias("t"))
-    counts = d.select(F.explode(F.array_intersect(_words(F.col("t")), _lits(known))).alias("w")).groupBy("w").count()
+    counts = texts.select(F.explode("have").alias("w")).groupBy("w").count()
     often = {r["w"]: r["count"] for r in counts.toArrow().to_pylist()}  # at most one row for each word of the notices
     rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
-    spark = documents.sparkSession
+    spark = texts.sparkSession
     rows, prefix = [], set()
     for k, ((label, _), words) in enumerate(zip(s.notices, sets, strict=True)):
         order = sorted(rank[w] for w in words)
@@ -139,7 +139,7 @@ def notices(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(rows, "first int, notice int, label string, need int, ranks array<int>"))  # one row a word of a prefix
     by_rank = sorted(rank, key=rank.get)
     early = _lits([by_rank[i] for i in sorted(prefix)])
-    lines = _likely(documents, s).select("doc_id", "tk", F.posexplode(F.split("t", "\n")).alias("line", "block"))
+    lines = texts.filter("t is not null").select("doc_id", "tk", F.posexplode(F.split("t", "\n")).alias("line", "block"))
     lines = lines.select("doc_id", "tk", "line", F.array_distinct(_words(F.col("block"))).alias("w"))
     lines = lines.filter(F.arrays_overlap("w", early))
     lookup = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
@@ -158,10 +158,10 @@ def scan(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     share an id but not the text are told apart; repeated rows get the same result. Further
     columns are ignored.
     """
-    base = places(documents, settings)
-    found = notices(documents, settings).select("doc_id", "tk", "label", "containment")
+    base = read(documents, settings)
+    found = notices(base, settings).select("doc_id", "tk", "label", "containment")
     if settings.wrapped:
-        found = found.union(wrapped(documents, settings))
+        found = found.union(wrapped(base, settings))
     more = cut(found.groupBy("doc_id", "tk").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))
     more = more.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
     both = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
