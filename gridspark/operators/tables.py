@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType
 
 from gridspark.functions.keyed import uniform
 from gridspark.operators.ordering import carried, ranked
+from gridspark.session import cut
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -164,17 +165,23 @@ def relative_change(means: DataFrame, by: Sequence[str]) -> DataFrame:
                                   F.count(F.lit(1)).alias("n_clusters"))
 
 
-def bootstrap_draws(means: DataFrame, by: Sequence[str], cluster: str, n_boot: int, seed: int) -> DataFrame:
-    """``n_boot`` resamples of the clusters with replacement, one row per draw."""
+def bootstrap_draws(means: DataFrame, by: Sequence[str], cluster: str, n_boot: int, seed: int, most: int = 500_000) -> DataFrame:
+    """``n_boot`` resamples of the clusters with replacement, one row per draw.
+
+    The resamples are dealt to tasks by (``by``, ``boot``) before they are expanded. Up to ``most`` numbered clusters,
+    counted first, are sent to every task, so a draw finds its cluster where it is made and a sum over a
+    resample needs no further shuffle. More clusters meet their draws by a shuffle join.
+    """
     by = list(by)
-    g = ranked(means, by, [cluster], "_i", count="_n").withColumn("_i", F.col("_i") - 1)
+    g = cut(ranked(means, by, [cluster], "_i", count="_n").withColumn("_i", F.col("_i") - 1))
     head = g.where("_i = 0").select(*by, "_n")
+    few = g.count() <= most
     d = head.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    # spread the resamples before they are expanded to draws
-    d = d.repartition("boot").select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("slot"))
+    d = d.repartition(*by, "boot").select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("slot"))
     u = uniform(seed, *[F.col(b) for b in by], F.col("boot"), F.col("slot"))
     d = d.withColumn("_i", F.floor(u * F.col("_n")))
-    return d.drop("_n").join(g.drop("_n"), [*by, "_i"]).drop("_i")
+    g = g.drop("_n")
+    return d.drop("_n").join(F.broadcast(g) if few else g, [*by, "_i"]).drop("_i")
 
 
 def bootstrap_ci(means: DataFrame, by: Sequence[str], cluster: str, n_boot: int = 5000, seed: int = 0) -> DataFrame:
