@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACES, U, Block, blocks, mix, powers, words
+from gridspark.llm.common import SPACES, U, Block, blocks, hand_back, mix, powers, words
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,7 @@ def _spans(s: Settings):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_codes(x, at, size).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.index[at].astype(np.int64) * s.stride + size)],
                     ["span", "id", "tk", "at"])
+            hand_back()
 
     return run
 
@@ -115,33 +117,34 @@ def _spans(s: Settings):
 def _cut(s: Settings):
     @F.arrow_udf("text string, n_removed long, spans array<struct<start: long, end: long>>")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        out, lost, found = [], [], []
-        for b in blocks(texts, 0):
-            at = places[b.first].as_py() if places[b.first].is_valid else None
-            if not at:
-                out.append(texts[b.first].as_py())
-                lost.append(0)
-                found.append([])
-                continue
+        n = len(texts)
+        changed, lost, found = [], np.zeros(n, np.int64), [[]] * n
+        todo = np.flatnonzero(pc.greater(pc.list_value_length(places), 0).fill_null(False).to_numpy(zero_copy_only=False))
+        for i in todo.tolist():  # all other texts stay in their buffer
+            b = next(blocks(texts.slice(i, 1), 0))
             start = sentences(b).start
             gone = np.zeros(len(start) + 1, bool)
-            at, size = np.divmod(np.asarray(at), s.stride)
+            at, size = np.divmod(places[i].values.to_numpy(), s.stride)
             for j in range(int(size.max())):
                 gone[at[size > j] + j] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
-            until = np.append(start, len(b.data))
-            ends = until[edge].tolist()
+            ends = np.append(start, len(b.data))[edge].tolist()
             ranges = list(zip(ends[::2], ends[1::2], strict=True))
             kept, here = [], 0
             for x, y in ranges:
                 kept.append(b.data[here:x].tobytes())
                 here = y
             kept.append(b.data[here:].tobytes())
-            out.append(b"".join(kept).decode())
-            lost.append(sum(y - x for x, y in ranges))
-            found.append([{"start": x, "end": y} for x, y in ranges])
+            changed.append(b"".join(kept).decode())
+            lost[i] = sum(y - x for x, y in ranges)
+            found[i] = [{"start": x, "end": y} for x, y in ranges]
+        mask = np.zeros(n, bool)
+        mask[todo] = True
+        left = pc.replace_with_mask(texts, pa.array(mask), pa.array(changed, texts.type)) if changed else texts
+        del changed
+        hand_back()
         return pa.StructArray.from_arrays(
-            [pa.array(out, pa.string()), pa.array(lost, pa.int64()), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+            [left, pa.array(lost), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
             ["text", "n_removed", "spans"])
 
     return cut
