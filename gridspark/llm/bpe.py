@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridspark.llm.common import bound_batches
+
 LONG = 256  # bytes of a word up to which the recursive query takes it
 WORDS = 12_000  # words a query
 KNOWN = 200_000  # words a worker remembers before it starts afresh
@@ -201,6 +203,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     one database a task instead of two. Rows are coded one by one, so repeated rows and any doc_ids
     are alike. Columns named ``ids`` (and ``decoded``) are replaced.
     """
+    bound_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c not in (text, "ids", *["decoded"] * decoded)]
     source = documents.select(*rest, text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "`ids` array<int>", *["`decoded` binary"] * decoded])

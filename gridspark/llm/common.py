@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
@@ -160,5 +160,17 @@ def hand_back() -> None:
         trim(0)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts travel to the workers 8 MB at a time, unless the session names its own bound.
+
+    Both ends hold a batch, and hold it twice while it is copied; by default it has up to 64 MB.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "8MB")
+
+
 def packed(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())

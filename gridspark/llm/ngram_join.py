@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import BLOCK_BYTES, SPACES, U, Block, blocks, constants, hand_back, mix, runs, words
+from gridspark.llm.common import BLOCK_BYTES, SPACES, U, Block, blocks, bound_batches, constants, hand_back, mix, runs, words
 from gridspark.llm.links import components
 from gridspark.session import cut
 
@@ -372,7 +372,7 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFra
     of the pairs inside a component that is joined already, not each one is compared.
     """
     s = settings
-    spark = documents.sparkSession
+    bound_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     total = documents.count()
     buckets = 1 << max(4, (total // s.docs_per_bucket).bit_length())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import FOLD, MARKS, Block, U, blocks, distinct_sorted, hand_back, mix, words
+from gridspark.llm.common import FOLD, MARKS, Block, U, blocks, bound_batches, distinct_sorted, hand_back, mix, words
 from gridspark.session import cut
 
 BITS = 19  # the upper half of the buckets is for word beginnings
@@ -273,6 +273,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
     its site. Without labels the evidence is even and only ``UNKNOWN`` remains, so that every row
     is kept. Columns of any name pass through, but for ``quality_``, which is replaced.
     """
+    bound_batches(documents.sparkSession)
     m = train(documents, labels, settings)
     judge = evidence(m)
     rest = [c for c in documents.columns if c != "quality_"]

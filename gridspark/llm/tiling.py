@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import MARKS, U, blocks, mix, runs, words
+from gridspark.llm.common import MARKS, U, blocks, bound_batches, mix, runs, words
 
 
 @dataclass(frozen=True)
@@ -169,6 +169,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings
     ids are ids like others.
     """
     s = settings
+    bound_batches(documents.sparkSession)
     slim = lambda df, i, k: df.select(F.col(i), F.xxhash64("text").alias(k), F.coalesce("text", F.lit("")).alias("text"))
     items = slim(benchmark, "item_id", "ik").dropDuplicates(["item_id", "ik"]).mapInArrow(_items(s), "item_id long, ik long, item array<long>, seeds array<long>")
     seeds = items.select("item_id", "ik", F.size("item").alias("n"), F.explode("seeds").alias("seed"))
