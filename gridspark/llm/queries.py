@@ -55,9 +55,9 @@ def op4(spark, sf_dir):
 
 @query("op6_substring_dedup")
 def op6(spark, sf_dir):
-    from gridspark.llm.spans import Settings, dedup
+    from gridspark.llm.spans import PASSAGES, dedup
 
-    docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes")), Settings(passages=True))
+    docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes")), PASSAGES)
     return docs.select(
         "doc_id", F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), F.col("cut_.n_removed").alias("n_removed"),
         F.size("cut_.spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -1,7 +1,8 @@
 import random
 import re
 
-from gridspark.llm.spans import Settings, dedup
+from gridspark.llm.common import BATCH, bound_batches
+from gridspark.llm.spans import PASSAGES, Settings, dedup
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -100,6 +101,40 @@ def test_passages_brute_force(spark):
     assert run(spark, [], passages=True) == []
 
 
+def test_common_sentences_stay_and_passages_go(spark):
+    rng = random.Random(5)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, passage = word(12) + ".", ". ".join(word(9) for _ in range(6)) + "."
+    rows = [(k, f"{word(30)}. {common} {word(25)}.") for k in range(20)]
+    rows += [(k, f"{word(7)} {passage} {word(30)}.") for k in range(20, 23)]  # its first sentence runs into other text
+    got = run(spark, rows, min_words=PASSAGES.min_words, passages=PASSAGES.passages)
+    assert got == brute_passages(rows, PASSAGES.min_words)
+    lost = {d: n for d, _, n in got}
+    first = len(passage.split(". ")[0]) + 2
+    assert [lost[k] for k in range(21)] == [0] * 21
+    assert [lost[k] for k in (21, 22)] == [len(passage) + 1 - first] * 2
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(BATCH, None)
+    try:
+        spark.conf.set(BATCH, "3MB")
+        bound_batches(spark)
+        assert spark.conf.get(BATCH) == "3MB"
+        spark.conf.unset(BATCH)
+        bound_batches(spark)
+        assert spark.conf.get(BATCH) == "8MB"
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def test_given_documents_by_passages(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(d, t) for d, t in rows if len(split(t or "")[0]) <= 60]  # the brute force looks at all runs
+    assert len(rows) > 100
+    assert run(spark, rows, min_words=PASSAGES.min_words, passages=PASSAGES.passages) == brute_passages(rows, PASSAGES.min_words)
+
+
 def test_query_cuts_short_lines_and_single_sentences(spark, tmp_path):
     from gridspark.llm.queries import QUERIES
 
