@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(px: DataFrame) -> DataFrame:
+    """Marks pixel rows as a side of a join that is sorted and merged, never sent to every task.
+
+    Spark estimates an exploded table by the file it came from, many times too small, and would
+    build the whole of it in the driver.
+    """
+    return px.hint("merge")
+
+
 def frames_to_pixels(frames: DataFrame, arrays: Sequence[str], keep: Sequence[str] = ("frame",),
                      column_major: bool = False) -> DataFrame:
     """Explode row-major arrays of length ``h*w``; ``column_major`` reads transposed packs."""

@@ -79,9 +79,10 @@ def agreement(px: DataFrame, by, limits) -> DataFrame:
 def alignment_sweep(px: DataFrame, depth_cam, rotation, translation, colour_cam, distortion, size, limits) -> DataFrame:
     """Reproject under every direction x distortion x depth convention and compare with the reference map.
 
-    The eight variants ride along as short arrays, so the pixels are read and
-    shuffled once.
+    The projected pixels come back as one row per target with a column for each of
+    the eight variants, which meets the reference by a merge join and is dealt out after it.
     """
+    from gridspark.layouts import spread
     from gridspark.operators import geometry as G
 
     p = G.with_points(px.where("gt > 0"), "gt", depth_cam)
@@ -97,14 +98,14 @@ def alignment_sweep(px: DataFrame, depth_cam, rotation, translation, colour_cam,
     h, w = size
     p = p.select("frame", "z0", "direction", "qz", F.col("t.use_dist").alias("use_dist"), F.rint(fx * F.col("t.u") + cx).alias("_x"), F.rint(fy * F.col("t.v") + cy).alias("_y"))
     p = p.where((F.col("_x") >= 0) & (F.col("_x") < w) & (F.col("_y") >= 0) & (F.col("_y") < h))
-    modes = F.array(F.struct(F.lit("color").alias("z_mode"), F.col("qz").alias("z")), F.struct(F.lit("depth").alias("z_mode"), F.col("z0").alias("z")))
-    p = p.select("frame", "direction", "use_dist", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), F.explode(modes).alias("m"))
     by = ["direction", "use_dist", "z_mode"]
-    seen = p.groupBy("frame", "y", "x", "direction", "use_dist", F.col("m.z_mode").alias("z_mode")).agg(F.min("m.z").alias("z"))
-    every = F.array(*[F.struct(F.lit(a).alias("direction"), F.lit(b).alias("use_dist"), F.lit(c).alias("z_mode"))
-                      for a in ("d2c", "c2d") for b in (False, True) for c in ("color", "depth")])
-    ref = px.select("frame", "y", "x", "gt", F.explode(every).alias("v")).select("frame", "y", "x", "gt", "v.*")
-    j = ref.join(seen, ["frame", "y", "x", *by], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    every = [(a, b, c) for a in ("d2c", "c2d") for b in (False, True) for c in ("color", "depth")]
+    value = {"color": F.col("qz"), "depth": F.col("z0")}
+    seen = p.groupBy("frame", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x")).agg(
+        *[F.min(F.when((F.col("direction") == a) & (F.col("use_dist") == b), value[c])).alias(f"_z{i}") for i, (a, b, c) in enumerate(every)])
+    variants = F.array(*[F.struct(F.lit(a).alias("direction"), F.lit(b).alias("use_dist"), F.lit(c).alias("z_mode"), F.coalesce(f"_z{i}", F.lit(0.0)).alias("z"))
+                         for i, (a, b, c) in enumerate(every)])
+    j = px.select("frame", "y", "x", "gt").join(spread(seen), ["frame", "y", "x"], "left").select("gt", F.explode(variants).alias("v")).select("gt", "v.*")
     return agreement(j, by, dict(zip(("within_1", "within_2", "within_5"), limits)))
 
 
