@@ -13,7 +13,7 @@ from gridspark.catalog.q_raster import bicubic_aa_w, bicubic_w, gauss_w, refl, s
 from gridspark.catalog.q_segment import PAIR, closing_sql, regions_sql
 from gridspark.catalog.registry import register
 from gridspark.functions import scalar as S
-from gridspark.layouts import with_size
+from gridspark.layouts import spread, with_size
 from gridspark.operators import augment as A
 from gridspark.operators import geometry as G
 from gridspark.operators import raster as R
@@ -58,7 +58,7 @@ ANG = "least(greatest(acos(least(1.0::DOUBLE, abs(nz))) * 8, 0.0::DOUBLE), 1.553
 @register("axial_sigma", "SCL-14", f"""WITH {P8}, {N8}, a AS (SELECT frame, y, x, CASE WHEN gt > 0 THEN gt ELSE 1 END AS zs, {ANG} AS phi FROM pix JOIN nrm USING (frame, y, x))
   SELECT frame, y, x, least(0.0012 + 0.0019 * (zs - 0.4) * (zs - 0.4) + CASE WHEN phi > 1.0471975511965976 THEN 1e-4 / sqrt(zs) * phi * phi / pow(1.5707963267948966 - phi, 2) ELSE 0 END, 0.1::DOUBLE) AS sigma FROM a""", "sigma")
 def _(spark, sf):
-    px = base8(spark, sf).join(X.normals8(spark, sf), ["frame", "y", "x"])
+    px = base8(spark, sf).join(spread(X.normals8(spark, sf)), ["frame", "y", "x"])
     return px.select("frame", "y", "x", S.axial_sigma(F.col("gt"), G.theta() * 8).alias("sigma"))
 
 
@@ -70,7 +70,7 @@ def _(spark, sf):
 @register("dropout_probabilities", "SCL-16 SCL-17 SCL-18 SCL-19", f"""WITH {P8}, {N8} SELECT frame, y, x, least(greatest(0.0 + 0.04 * greatest(degrees(acos(least(1.0::DOUBLE, abs(nz))) * 8) - 60, 0.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE) AS p_theta,
   least(greatest(0.02 * pow(greatest(gt, 0.6::DOUBLE) / 1.5, 2), 0.0::DOUBLE), 0.85::DOUBLE) AS p_depth, 0.35 * least(greatest((gt - 2.5) / 3.5, 0.0::DOUBLE), 1.0::DOUBLE) AS p_far, 0.01 + 0.012 * gt AS sigma_range FROM pix JOIN nrm USING (frame, y, x)""", "p_theta p_depth p_far sigma_range")
 def _(spark, sf):
-    px = base8(spark, sf).join(X.normals8(spark, sf), ["frame", "y", "x"])
+    px = base8(spark, sf).join(spread(X.normals8(spark, sf)), ["frame", "y", "x"])
     z = F.col("gt")
     return px.select("frame", "y", "x", S.theta_dropout_p(G.theta() * 8).alias("p_theta"), S.depth_dropout_p(z).alias("p_depth"), S.far_dropout_p(z, 0.35).alias("p_far"), S.range_sigma(z).alias("sigma_range"))
 
@@ -268,7 +268,7 @@ TH = f"""{N8}, th0 AS (SELECT p.frame, p.y, p.x, p.gt, CASE WHEN nx > -0.15 THEN
 
 def theta8(spark, sf):
     n = X.normals8(spark, sf).select("frame", "y", "x", F.when(F.col("nx") > -0.15, G.theta() * 8).otherwise(float("nan")).alias("theta"))
-    return A.filled_theta(base8(spark, sf).join(n, ["frame", "y", "x"]))
+    return A.filled_theta(base8(spark, sf).join(spread(n), ["frame", "y", "x"]))
 
 
 @register("axial_noise", "AUG-12", f"""WITH {P8}, {TH}, s AS (SELECT *, CASE WHEN gt > 0 THEN gt ELSE 1 END AS zs FROM thp)
@@ -347,7 +347,7 @@ def dist_sql(mask: str, name: str) -> str:
   k AS (SELECT frame, y, x, row_number() OVER (PARTITION BY frame ORDER BY need, {up('cap')}, y, x) AS k FROM nd WHERE gt > 0 AND need <= 1.5)
   SELECT frame, y, x, CASE WHEN coalesce(k <= b, false) OR NOT gt > 0 THEN 0 ELSE gt END AS z FROM pix LEFT JOIN k USING (frame, y, x) JOIN b USING (frame)""", "z")
 def _(spark, sf):
-    px = base8(spark, sf).join(X.normals8(spark, sf), ["frame", "y", "x"])
+    px = base8(spark, sf).join(spread(X.normals8(spark, sf)), ["frame", "y", "x"])
     return A.edge_dropout(px, CAM8, "0", 0.3, 2, 12.0, 2, 1, 3, 4, 1.5, radius_noise_sigma=4.0).select("frame", "y", "x", "z")
 
 

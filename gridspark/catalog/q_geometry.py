@@ -12,6 +12,7 @@ from gridspark.catalog.q_tables import CAMS, cameras
 from gridspark.catalog.q_pixels import AGGS, CFG
 from gridspark.catalog.registry import REGISTRY, register
 from gridspark.functions import scalar as S
+from gridspark.layouts import spread
 from gridspark.operators import geometry as G
 from gridspark.operators import raster as R
 from gridspark.operators import segment as SG
@@ -66,7 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     a = X.normals8(spark, sf)
     b = a.select("frame", "y", (7 - F.col("x")).alias("x"), *[F.col(c).alias("m" + c[1]) for c in ("nx", "ny", "nz")])
-    return a.join(b, ["frame", "y", "x"]).select("frame", "y", "x", G.angular_error(["nx", "ny", "nz"], ["mx", "my", "mz"]).alias("err"))
+    return a.join(spread(b), ["frame", "y", "x"]).select("frame", "y", "x", G.angular_error(["nx", "ny", "nz"], ["mx", "my", "mz"]).alias("err"))
 
 
 def normals_sql(pt: str, rel: str, facing: str, name: str = "nrm4", valid: str = "{t}.pz > 0", floor: str = "p.pz") -> str:
@@ -225,7 +226,7 @@ def plane_edges_sql(step: int, eps: float, deg: float, med: bool) -> str:
 
 @register("plane_edge_mask", "GEO-12 JOIN-15", f"WITH {P8}, {N8}, {plane_edges_sql(2, 0.25, 8.0, True)} SELECT frame, y, x, edge FROM pe")
 def _(spark, sf):
-    px = X.pixels8(spark, sf).select("frame", "y", "x", "h", "w", "gt").join(X.normals8(spark, sf), ["frame", "y", "x"])
+    px = X.pixels8(spark, sf).select("frame", "y", "x", "h", "w", "gt").join(spread(X.normals8(spark, sf)), ["frame", "y", "x"])
     return G.plane_edges(px, CAM8, 0.25, 2, 8.0, 2, 3).select("frame", "y", "x", "edge")
 
 

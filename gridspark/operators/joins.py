@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.layouts import spread
 from gridspark.operators.projection import require
 
 
@@ -63,7 +64,7 @@ def camera_lookup(px: DataFrame, cameras: DataFrame, key: str) -> DataFrame:
 
 def mask_to_frame(px: DataFrame, masks: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
     """Attach cached class masks; the cached size must equal the frame size."""
-    j = px.join(masks.withColumnsRenamed({"h": "_mh", "w": "_mw"}), [*by, "y", "x"], "left")
+    j = px.join(spread(masks.withColumnsRenamed({"h": "_mh", "w": "_mw"})), [*by, "y", "x"], "left")
     ok = F.col("_mh").isNotNull() & (F.col("_mh") == F.col("h")) & (F.col("_mw") == F.col("w"))
     return require(j, ok, "stale or missing mask").drop("_mh", "_mw")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridspark.layouts import spread
 from gridspark.operators import raster as R
 from gridspark.operators.joins import points_to_segments
 from gridspark.session import cut
@@ -120,8 +121,8 @@ def keep_regions(px: DataFrame, mask: str, min_area: int, connect: int = 4, top_
     keep = region_sizes(lab, by).where(F.col("size") >= min_area)
     if top_k:
         keep = largest(keep, top_k, by)
-    good = lab.join(keep, [*by, "label"], "left_semi").select(*by, "y", "x", F.lit(True).alias("_keep"))
-    return px.join(good, [*by, "y", "x"], "left").withColumn(mask, F.coalesce("_keep", F.lit(False))).drop("_keep")
+    good = lab.join(spread(keep), [*by, "label"], "left_semi").select(*by, "y", "x", F.lit(True).alias("_keep"))
+    return px.join(spread(good), [*by, "y", "x"], "left").withColumn(mask, F.coalesce("_keep", F.lit(False))).drop("_keep")
 
 
 def clean_masks(px: DataFrame, min_area: int = 1500, open_px: int = 3, min_stair_frac: float = 0.05, top_k: int = 0) -> DataFrame:
@@ -134,8 +135,8 @@ def clean_masks(px: DataFrame, min_area: int = 1500, open_px: int = 3, min_stair
     keep = region_sizes(lab, by).where(F.col("size") >= min_area)
     if top_k:
         keep = largest(keep, top_k, by)
-    good = lab.join(keep, [*by, "label"], "left_semi").groupBy("frame", "y", "x").agg(F.max("c").alias("_c"))
-    out = px.join(good, ["frame", "y", "x"], "left").withColumn("cls", F.coalesce("_c", F.lit(0))).drop("_c")
+    good = lab.join(spread(keep), [*by, "label"], "left_semi").groupBy("frame", "y", "x").agg(F.max("c").alias("_c"))
+    out = px.join(spread(good), ["frame", "y", "x"], "left").withColumn("cls", F.coalesce("_c", F.lit(0))).drop("_c")
     share = out.groupBy("frame").agg(F.avg((F.col("cls") > 0).cast("double")).alias("_f"))
     return out.join(share, "frame").withColumn("cls", F.when(F.col("_f") >= min_stair_frac, F.col("cls")).otherwise(0)).drop("_f")
 
@@ -170,7 +171,7 @@ def clean_edges(px: DataFrame, edge: str, min_patch_size: int = 40, closing_size
     out = px
     if closing_size > 1:
         c = R.closed(px.select("frame", "y", "x", "h", "w", F.col(edge).alias("_e"), F.col("gt").alias("_g")), "_e", closing_size)
-        out = px.drop(edge).join(c.select("frame", "y", "x", (F.col("_e") & (F.col("_g") > 0)).alias(edge)), ["frame", "y", "x"])
+        out = px.drop(edge).join(spread(c.select("frame", "y", "x", (F.col("_e") & (F.col("_g") > 0)).alias(edge))), ["frame", "y", "x"])
     return keep_regions(out, edge, min_patch_size, 8)
 
 
@@ -184,7 +185,7 @@ def edge_band(px: DataFrame, segments: DataFrame, band_px: float = 6.0, mode: st
     end = F.least(t, 1.0 - t) * length
     wgt = F.lit(1.0) if mode == "binary" else F.exp(-(end * end) / (2.0 * (length / 2.0) * (length / 2.0)))
     e = near.groupBy("frame", "y", "x").agg(F.max(wgt).alias("E"))
-    return px.join(e, ["frame", "y", "x"], "left").withColumn("E", F.coalesce("E", F.lit(0.0)))
+    return px.join(spread(e), ["frame", "y", "x"], "left").withColumn("E", F.coalesce("E", F.lit(0.0)))
 
 
 def confidence_gate(px: DataFrame, band_px: float = 6.0, conf_thr: float = 0.7) -> DataFrame:

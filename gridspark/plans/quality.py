@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.layouts import spread
 from gridspark.operators import geometry as G
 from gridspark.operators import metrics as M
 from gridspark.operators import raster as R
@@ -109,10 +110,10 @@ def local_calibration(px: DataFrame, rel: str, anchor: str, lo: float, hi: float
     p = px.join(fit.select("frame", "label", "s", "t", "gn"), ["frame", "label"])
     st = p.select("frame", "y", "x", "s", "t")
     if smooth == "gaussian":
-        st = R.gaussian(st.select("frame", "y", "x", "s"), "s", sigma).join(R.gaussian(st.select("frame", "y", "x", "t"), "t", sigma), ["frame", "y", "x"])
+        st = R.gaussian(st.select("frame", "y", "x", "s"), "s", sigma).join(spread(R.gaussian(st.select("frame", "y", "x", "t"), "t", sigma)), ["frame", "y", "x"])
     elif smooth == "bilateral":
         st = R.bilateral(st, "s", "t", sigma_spatial, range_scale, max_radius)
-    out = p.drop("s", "t").join(st, ["frame", "y", "x"])
+    out = p.drop("s", "t").join(spread(st), ["frame", "y", "x"])
     pred = F.least(F.greatest(F.col("s") * F.col(rel) + F.col("t"), F.lit(lo)), F.lit(hi))
     none = F.col("gn") == 0
     return out.select("frame", "y", "x", F.when(none, F.lit(lo)).otherwise(pred).alias("pred"), none.alias("degenerate"))
