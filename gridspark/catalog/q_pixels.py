@@ -89,7 +89,7 @@ def _(spark, sf):
     from gridspark.layouts import with_size
     from gridspark.operators.raster import resize_nearest
     whole = resize_nearest(with_size(pixels64(spark, sf)), F.lit(480), F.lit(640))
-    return P.crop(with_size(whole.drop("h", "w")), "eigen").groupBy("frame").agg(
+    return P.crop(whole, "eigen").groupBy("frame").agg(
         F.count(F.lit(1)).alias("n"), F.sum("gt").alias("total"), F.min("y").alias("y_min"), F.max("x").alias("x_max"))
 
 

@@ -21,7 +21,7 @@ def pixel_broadcasts(df) -> list[str]:
     return re.findall(r"HashedRelationBroadcastMode\(List\(input\[\d+, bigint, \w+\], input\[\d+, int, \w+\], input\[\d+, int", plan(df))
 
 
-@pytest.mark.parametrize("name", ["alignment_sweep", "edge_dropout"])
+@pytest.mark.parametrize("name", ["alignment_sweep", "edge_dropout", "flat_patch_noise", "ground_truth_audit"])
 def test_pixels_are_not_broadcast(spark, sf, name):
     df = runner(load()[name])(spark, sf)
     assert "SortMergeJoin" in plan(df)
@@ -42,3 +42,8 @@ def test_dense_streams_store_no_pairs(spark, sf, tmp_path):
     stored = set(glob.glob(place, recursive=True)) - before
     assert sorted((r.colour_no, r.depth_no, r.gap_us) for r in got) == [(i, max(i - 1, 1), 1000) for i in range(0, 2 * n, 2)]
     assert 0 < sum(pq.read_metadata(f).num_rows for f in stored) <= 4 * n
+
+
+def test_enlarged_pixels_are_not_sized_again(spark, sf):
+    # one join: the given pixels and their frame's size, none of the 75 times as many pixels of the crop
+    assert len(re.findall(r"Join ", plan(runner(load()["crop_eigen"])(spark, sf)).split("Initial Plan")[0])) == 1
