@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.session import cut
+
+FEW = 500_000  # up to so many rows a table of frames is sent to all tasks
+
 
 def spread(px: DataFrame) -> DataFrame:
     """Marks pixel rows as a side of a join that is sorted and merged, never sent to every task.
@@ -17,6 +21,16 @@ def spread(px: DataFrame) -> DataFrame:
     return px.hint("merge")
 
 
+def of_frames(rows: DataFrame) -> DataFrame:
+    """A table with a row per frame, stored, and sent to all tasks while it has at most ``FEW`` rows.
+
+    Pixels then stay where they are. By Spark's estimate they would be shuffled by frame to meet it,
+    and all later steps of a frame, each with a sort of its own, would pile up in one task.
+    """
+    t = cut(rows)
+    return F.broadcast(t) if t.count() <= FEW else t
+
+
 def frames_to_pixels(frames: DataFrame, arrays: Sequence[str], keep: Sequence[str] = ("frame",),
                      column_major: bool = False) -> DataFrame:
     """Explode row-major arrays of length ``h*w``; ``column_major`` reads transposed packs."""
@@ -43,4 +57,4 @@ def with_size(px: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
     if "h" in px.columns and "w" in px.columns:
         return px
     size = px.groupBy(*by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    return px.join(size, list(by), "inner")
+    return px.join(of_frames(size), list(by), "inner")

@@ -6,9 +6,13 @@ import re
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from gridspark.catalog import fixtures as X
 from gridspark.catalog import load
 from gridspark.catalog.registry import runner
+from gridspark.layouts import with_size
+from gridspark.operators import geometry as G
 from gridspark.session import checkpoint_root
 
 
@@ -47,3 +51,17 @@ def test_dense_streams_store_no_pairs(spark, sf, tmp_path):
 def test_enlarged_pixels_are_not_sized_again(spark, sf):
     # one join: the given pixels and their frame's size, none of the 75 times as many pixels of the crop
     assert len(re.findall(r"Join ", plan(runner(load()["crop_eigen"])(spark, sf)).split("Initial Plan")[0])) == 1
+
+
+def test_pixels_stay_where_they_are_to_meet_their_frame(spark, sf):
+    # no estimate is small enough, as on a large table
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        px = X.pixels64(spark, sf)
+        assert "SortMergeJoin" not in plan(with_size(px))
+        n = px.select("frame", F.col("e").alias("nx"), F.col("e2").alias("ny"), F.lit(1.0).alias("nz"))
+        assert "SortMergeJoin" not in plan(G.robust_up(n, F.lit(True), 1))
+    finally:
+        spark.conf.set(key, before)
