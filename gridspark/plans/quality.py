@@ -27,6 +27,7 @@ def mask_quality(px: DataFrame, cam: Sequence, min_px: int = 300, smooth_k: int
     p = R.box_mean_valid(p, "gt", "_meas", smooth_k, "_zs")
     n = G.normals_facing(p, "_zs", cam, F.col("_zs_full"), max_rel_jump)
     n = n.withColumn("_good", F.col("_meas") & ~F.col("band") & ~F.col("ignore") & F.col("n_ok"))
+    n = cut(n.select("frame", "tread", "riser", "_good", "nx", "ny", "nz"))
     up = G.robust_up(n, F.col("tread") & F.col("_good"), min_px)
     j = n.where("_good").join(up, "frame")
     cos = F.abs(F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz"))
