@@ -161,15 +161,18 @@ def hand_back() -> None:
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Texts travel to the workers 8 MB at a time, unless the session names its own bound.
+    """Texts travel to the workers 8 MB at a time and are read 512 at a time, unless the session names its own bounds.
 
-    Both ends hold a batch, and hold it twice while it is copied; by default it has up to 64 MB.
+    Both ends hold a batch, and hold it twice while it is copied; by default it has up to 64 MB. The reader
+    keeps the texts of its rows, 4,096 by default, in one array that doubles as it grows.
     """
-    if spark.conf.get(BATCH, None) is None:
-        spark.conf.set(BATCH, "8MB")
+    for name, most in ((BATCH, "8MB"), (ROWS, "512")):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
 
 
 def packed(values: list[bytes]) -> pa.Array:

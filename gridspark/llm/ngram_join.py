@@ -227,6 +227,7 @@ def _emit(buckets: int, s: Settings, common: np.ndarray):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()),
                     pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.list_(pa.binary()))], names)
+        hand_back()  # the worker waits for its next task
 
     return run
 
@@ -290,6 +291,7 @@ def _sets(s: Settings):
                 ids = set_ids(flat, at)
                 pick = [i for i in np.unique(ids, return_index=True)[1] if ids[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pick], pa.int64()), pa.array([flat[at[i]: at[i + 1]].tobytes() for i in pick], pa.binary())], ["sid", "members"])
+        hand_back()  # the worker waits for its next task
 
     return run
 
@@ -300,6 +302,7 @@ def _likely(s: Settings):
             sizes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = [apart(x, y) <= differ(int(a), int(b), s.num, s.den) for a, b, x, y in zip(*sizes, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        hand_back()
 
     return run
 
@@ -359,6 +362,7 @@ def _verify(s: Settings):
                 keep.append(ok)
             kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
             yield kept
+        hand_back()
 
     return run
 
@@ -441,9 +445,12 @@ def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     first = named.groupBy("part").agg(F.min(F.struct("_id", "_tk")).alias("lo"))
     rest = cut(named.join(first, "part").filter("struct(_id, _tk) <> lo").select("_id", "_tk").distinct())
     twice = cut(named.groupBy("_id", "_tk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_tk"))
-    rest, twice = (F.broadcast(x) if x.count() <= settings.small // 4 else x for x in (rest, twice))
+    repeated = twice.count()
+    rest, twice = (F.broadcast(x) if n <= settings.small // 4 else x for x, n in ((rest, rest.count()), (twice, repeated)))
     keyed = documents.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("tk")))
     same = (F.col("_key.id") == F.col("_id")) & (F.col("_key.tk") == F.col("_tk"))
     left = keyed.join(rest, same, "left_anti")
+    if not repeated:  # the texts are read once
+        return left.select(documents.columns)
     single, several = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi").dropDuplicates(["_key"])
     return single.union(several).select(documents.columns)

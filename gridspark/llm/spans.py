@@ -151,7 +151,7 @@ def _cut(s: Settings):
             [left, pa.array(lost), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
             ["text", "n_removed", "spans"])
 
-    return cut
+    return cut.asNondeterministic()  # else a filter on what was cut would cut each text a second time
 
 
 def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
