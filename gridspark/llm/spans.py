@@ -6,6 +6,10 @@ after lower-casing A-Z, white space and line breaks aside). A span's first place
 one with the least (doc_id, sentence); the sentences of all its other places go, with the
 white space up to the next sentence.
 
+A document looks up each span once, by its first place there. Later places of the same span
+in the same document are never a first place, so they travel along as a list and go in any case;
+a line that a document repeats a thousand times is one row of the shuffle and the join.
+
 With ``passages`` the runs are, instead, from each sentence on and up to each sentence the
 shortest one with at least ``min_words`` words. A repeated passage of whole sentences and that
 many words is made up of such runs, so all of it is found, be it one long sentence or many
@@ -101,6 +105,17 @@ def _codes(x: Sentences, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((run[at + size] - run[at]) * powers(n, inverse=True)[at] + mix(size.astype(U)))
 
 
+def _once(code: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """First place of each span in each document, and its other places there (none: null)."""
+    order = np.lexsort((place, code, doc))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (doc[order[1:]] != doc[order[:-1]]) | (code[order[1:]] != code[order[:-1]])
+    starts = np.flatnonzero(opens)
+    others = np.diff(np.append(starts, len(order))) - 1
+    ends = pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32))
+    return order[starts], pa.ListArray.from_arrays(ends, pa.array(place[order[~opens]]), mask=pa.array(others == 0))
+
+
 def _spans(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +124,12 @@ def _spans(s: Settings):
                 at, size = _runs(x, s)
                 if not len(at):
                     continue
-                rows = pa.array(x.doc[at] + b.first)
+                code, doc, place = _codes(x, at, size), x.doc[at], x.index[at].astype(np.int64) * s.stride + size
+                head, more = _once(code, doc, place)
+                rows = pa.array(doc[head] + b.first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_codes(x, at, size).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.index[at].astype(np.int64) * s.stride + size)],
-                    ["span", "id", "tk", "at"])
+                    [pa.array(code[head].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[head]), more],
+                    ["span", "id", "tk", "at", "more"])
             hand_back()
 
     return run
@@ -167,12 +184,15 @@ def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keyed = documents.drop("cut_").withColumn("cut_", F.struct(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("tk")))
     slim = keyed.select("cut_.id", "cut_.tk", F.coalesce("text", F.lit("")).alias("text"))
-    spans = slim.mapInArrow(_spans(s), "span long, id long, tk long, at long")
+    spans = slim.mapInArrow(_spans(s), "span long, id long, tk long, at long, more array<long>")
     # One number for (id, sentence) keeps the aggregate a hash aggregate; places of a span are all of one length.
     spans = spans.withColumn("place", F.col("id").cast("decimal(19,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("at"))
-    first = spans.groupBy("span").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo < hi").select("span", "lo")
-    gone = spans.join(first, "span").filter("place > lo").select("id", "tk", "at").distinct()
-    gone = gone.groupBy("id", "tk").agg(F.collect_list("at").alias("places"))
+    first = spans.groupBy("span").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.bool_or(F.col("more").isNotNull()).alias("again"))
+    first = first.filter("lo < hi or again").select("span", "lo")
+    gone = spans.join(first.hint("merge"), "span").filter("place > lo or more is not null")
+    more = F.coalesce("more", F.array().cast("array<long>"))
+    gone = gone.select("id", "tk", F.when(F.col("place") > F.col("lo"), F.concat(F.array("at"), more)).otherwise(more).alias("at")).distinct()
+    gone = gone.groupBy("id", "tk").agg(F.flatten(F.collect_list("at")).alias("places"))
     both = keyed.join(gone, (F.col("cut_.id") == gone["id"]) & (F.col("cut_.tk") == gone["tk"]), "left")
     names = keyed.columns[:-1]
     both = both.select(*[keyed[c] for c in names], gone["places"].alias("cut_"))

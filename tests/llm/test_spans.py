@@ -144,3 +144,31 @@ def test_query_cuts_short_lines_and_single_sentences(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in QUERIES["op6_substring_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: 0, 2: len(short), 3: 0, 4: len(single), 5: len(single) + 1}
+
+
+def joined_rows(df):
+    """Rows that the join by span makes."""
+    spark = df.sparkSession
+    df.write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, nodes, counts = store.executionMetrics(last), store.planGraph(last).allNodes().iterator(), []
+    while nodes.hasNext():
+        node = nodes.next()
+        if "Join" in node.name() and "span#" in node.desc():
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows":
+                    counts.append(int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return counts
+
+
+def test_a_line_repeated_within_documents_is_one_row_each(spark):
+    line = "one two three four five six seven eight. "
+    rows = [(k, f"Only {k} here\n{line * 200}") for k in range(30)]
+    assert run(spark, rows, passages=True) == sorted(
+        [(d, t[: t.index("one")] + (line if d == 0 else ""), len(line) * (199 if d == 0 else 200)) for d, t in rows], key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    (made,) = joined_rows(dedup(df, Settings(passages=True)))
+    assert made <= 2 * len(rows)
