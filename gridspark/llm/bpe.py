@@ -3,7 +3,8 @@
 Spark deals out the rows. Within a task the split pattern cuts texts into words; words
 that the task has not met yet become rows (word, position, token), and a recursive query
 joins neighbouring tokens with the merge table and contracts each word's leftmost pair of
-least rank, until no word has a pair left. An ordered aggregation decodes.
+least rank, until no word has a pair left. Each place of a word is then a look-up, and so is
+each token's bytes when ids are decoded.
 
 The recursion keeps every round's rows, so words of more than ``LONG`` bytes take the same
 step in a loop that keeps the last round only. There a step contracts all places of the
@@ -17,17 +18,19 @@ import base64
 import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gridspark.llm.common import bound_batches
 
 LONG = 256  # bytes of a word up to which the recursive query takes it
 WORDS = 12_000  # words a query
-KNOWN = 200_000  # words a worker remembers before it starts afresh
-ROWS = 400_000  # tokens a decoding query
+KNOWN = 200_000  # words a worker remembers before it drops those that it met least
+ROWS = 400_000  # tokens decoded at a time
 
 #: Neighbours of the rows of ``source`` with the merge that joins them, and each word's leftmost pair of least
 #: rank. Positions grow through all words, so one sort by position keeps words together.
@@ -67,8 +70,16 @@ WHERE NOT EXISTS (SELECT 1 FROM hit d WHERE d.w = c.w AND d.q = c.p)
 """
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Coder:
-    """Merge table, vocabulary and the words met so far, in a database of its own."""
+    """Merge table in a database of its own, vocabulary and the words met so far."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
@@ -87,23 +98,45 @@ class Coder:
                     b.append(y)
                     k.append(rank)
         self._fill("merges", a=a, b=b, k=k)
-        self._fill("vocab", t=list(ranks.values()), hex=[t.hex() for t in ranks])
+        self.vocab = pa.array(map({k: t for t, k in ranks.items()}.get, range(max(ranks.values()) + 1)), pa.large_binary())
         # Tokens in no pair that ranks below them.
         self.db.execute("CREATE TABLE calm AS SELECT DISTINCT k FROM merges EXCEPT SELECT x FROM (SELECT a AS x, k FROM merges UNION ALL SELECT b, k FROM merges) WHERE k < x")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self._forget()
 
     def _fill(self, name: str, **columns: list) -> None:
-        self.db.register("given", pa.table({c: pa.array(v, pa.string() if c == "hex" else pa.int32()) for c, v in columns.items()}))
+        self.db.register("given", pa.table({c: pa.array(v, pa.int32()) for c, v in columns.items()}))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the words that were met again, half of the room's worth at most, and count anew."""
+        n = len(self.known)
+        often = np.sort(np.argsort(-self.met[:n], kind="stable")[:KNOWN // 2])
+        often = often[self.met[often] > 1]
+        words, size = list(self.known), self.size[often]
+        ids = self._gather(often)
+        self._forget()
+        self.known.update((words[k], i) for i, k in enumerate(often.tolist()))
+        self._store(np.arange(len(often)), ids, size)
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        used, end = self.used + len(ids), len(self.known)
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        if end > len(self.start):
+            self.start, self.size, self.met = (np.concatenate([v, np.zeros(max(len(v), end - len(v)), np.int64)]) for v in (self.start, self.size, self.met))
+        self.flat[self.used: used] = ids
+        self.start[numbers], self.size[numbers] = self.used + np.cumsum(size) - size, size
+        self.used = used
 
     def rest(self) -> None:
         """Between tasks a worker keeps the tables only and hands freed memory back to the system."""
@@ -138,54 +171,64 @@ class Coder:
             got = self.db.sql("SELECT w, t FROM cur ORDER BY w, p").to_arrow_table()
         return got["t"].to_numpy(), np.bincount(got["w"].to_numpy(), minlength=len(texts))
 
-    def _learn(self, fresh: list[str]) -> None:
-        fresh = [(x, x.encode()) for x in fresh]
-        short = [x for x in fresh if len(x[1]) <= LONG]
-        groups = [short[i: i + WORDS] for i in range(0, len(short), WORDS)] + [[x] for x in fresh if len(x[1]) > LONG]
-        for group in groups:
-            ids, size = self.contract([x[1] for x in group])
-            n, end, used = len(self.known), len(self.known) + len(group), self.used + len(ids)
-            if used > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            if end > len(self.start):
-                self.start, self.size = (np.concatenate([v, np.zeros(max(len(v), len(group)), np.int64)]) for v in (self.start, self.size))
-            self.flat[self.used: used] = ids
-            self.start[n:end], self.size[n:end] = self.used + np.cumsum(size) - size, size
-            self.known.update(zip((x[0] for x in group), range(n, end), strict=True))
-            self.used = used
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.int32)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _learn(self, first: int) -> None:
+        """Tokens of all words from number ``first`` on."""
+        fresh = [x.encode() for x in islice(self.known, first, None)]
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        order = np.argsort(size, kind="stable")  # words of one length take like numbers of rounds
+        short, long = order[size[order] <= LONG], order[size[order] > LONG]
+        for group in [*(short[i: i + WORDS] for i in range(0, len(short), WORDS)), *long.reshape(-1, 1)]:
+            self._store(first + group, *self.contract([fresh[k] for k in group.tolist()]))
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         ends = np.cumsum(size)
-        return self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[at] - ends + size, size)]
+        return self.flat[np.arange(int(ends[-1]) if len(at) else 0) + np.repeat(self.start[at] - ends + size, size)]
 
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts one after the other, and where each text's begin, with the end."""
         if len(self.known) > KNOWN:
-            self._forget()
-        words = list(map(self.pattern.findall, texts))
-        fresh = set().union(*words) - self.known.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        return map(self.encode, words)
+            self._thin()
+        first, counts = len(self.known), [0]
+
+        def found() -> Iterator[list[str]]:
+            for x in texts:
+                words = self.pattern.findall(x)
+                counts.append(len(words))
+                yield words
+
+        try:
+            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found())), np.int64)
+            if len(self.known) > first:
+                self._learn(first)
+        except BaseException:
+            self._forget()  # numbered words without tokens
+            raise
+        self.met[:len(self.known)] += np.bincount(at, minlength=len(self.known))
+        ends = np.concatenate([[0], np.cumsum(self.size[at])])
+        return self._gather(at), ends[np.cumsum(counts)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        ids, ends = self.encode_flat(texts)
+        return (ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
     def decode_all(self, ids: pa.ListArray) -> list[bytes]:
         """Bytes of each list of ids; unknown ids are an error."""
-        out: list[list[bytes]] = [[] for _ in range(len(ids))]
-        ends, t = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
-        for a in range(0, len(t), ROWS):  # a long text is decoded in pieces, which are joined in order
-            part = t[a: a + ROWS]
-            d = (np.searchsorted(ends, np.arange(a, a + len(part)), side="right") - 1).astype(np.int32)
-            self.db.register("given", pa.table({"d": d, "p": np.arange(len(part), dtype=np.int64), "t": part}))
-            got = self.db.sql("SELECT d, string_agg(hex, '' ORDER BY p) AS h, count(hex) AS n FROM given LEFT JOIN vocab USING (t) GROUP BY d").to_arrow_table()
-            self.db.unregister("given")
-            if got["n"].to_numpy().sum() != len(part):
+        ends, t = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
+        if len(t) and (t.null_count or not 0 <= pc.min(t).as_py() <= pc.max(t).as_py() < len(self.vocab)):
+            raise ValueError("an id is not in the vocabulary")
+        pieces, at, done = [], np.zeros(len(ends), np.int64), 0
+        for a in range(0, len(t), ROWS):
+            got = self.vocab.take(t.slice(a, ROWS))
+            if got.null_count:
                 raise ValueError("an id is not in the vocabulary")
-            for k, h in zip(got["d"].to_pylist(), got["h"].to_pylist(), strict=True):
-                out[k].append(bytes.fromhex(h))
-        return list(map(b"".join, out))
+            place = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+            here = slice(*np.searchsorted(ends, [a + 1, a + len(got) + 1]))
+            at[here] = done + place[ends[here] - a]
+            pieces.append(got.buffers()[2].to_pybytes()[: int(place[-1])])
+            done += int(place[-1])
+        whole = b"".join(pieces)
+        return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -219,9 +262,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                     texts.append(x)
                     n += len(x)
                     i += 1
-                parts = list(c.encode_all(texts))
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+                flat, ends = c.encode_flat(texts)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 more = [pa.array(c.decode_all(ids), pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i - first) for k in range(len(rest))), ids, *more], [*rest, "ids", *["decoded"] * decoded])
         c.rest()

@@ -90,3 +90,42 @@ def test_a_long_text_is_decoded_in_pieces(coder):
     ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
     assert coder.decode_all(ids) == [t.encode() for t in texts]
     assert coder.decode_all(ids.slice(2, 2)) == [b"", b"last one"]
+
+
+def test_known_words_need_no_query(library):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["the same words", "", " and the same again", "日本語 words", "x" * 400]
+    own = Coder(PATH, PATTERN)
+    list(own.encode_all(texts))
+    own.db = None
+    parts = list(own.encode_all(texts[::-1]))
+    assert [p.tolist() for p in parts] == [library.encode_ordinary(t) for t in texts[::-1]]
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
+    assert own.decode_all(ids) == [t.encode() for t in texts[::-1]]
+
+
+def test_frequent_words_outlast_a_full_memory(library, monkeypatch):
+    from gridspark.llm import bpe
+
+    monkeypatch.setattr(bpe, "KNOWN", 100)
+    own, learned = Coder(PATH, PATTERN), []
+    contract = own.contract
+    own.contract = lambda words: learned.extend(words) or contract(words)
+    common = [f" common{chr(97 + k)}" for k in range(20)]
+    for turn in range(12):
+        rare = "".join(f" rare{chr(97 + turn)}{chr(97 + k)}" for k in range(26))
+        texts = ["".join(common) + rare, "".join(common)]
+        assert [p.tolist() for p in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert len(own.known) <= 100 + 46
+    assert sorted(x for x in learned if x.startswith(b" common")) == sorted(x.encode() for x in common)
+
+
+def test_a_failed_query_leaves_no_words_without_tokens(library):
+    own = Coder(PATH, PATTERN)
+    db, own.db = own.db, None
+    with pytest.raises(AttributeError):
+        own.encode_all(["not yet learned"])
+    own.db = db
+    assert [p.tolist() for p in own.encode_all(["not yet learned"])] == [library.encode_ordinary("not yet learned")]
