@@ -495,17 +495,18 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def _spans(slim: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
     """id, tk, spans: the byte ranges that go, stored."""
     lowest = whole.groupBy("md").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    copies = cut(whole.join(lowest, "md").filter("id > lo").select("id", "tk", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).distinct())
+    copies = cut(whole.join(lowest, "md").filter("id > lo").select("id", "tk", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).distinct(), release=True)
 
     buckets = 1 << max(4, (whole.count() // s.docs_per_bucket).bit_length())
     packed = slim.mapInArrow(_emit(buckets, s), "bucket int, block long, code binary, doc binary, at binary, ids array<long>, tks array<long>")
     runs = packed.groupBy("bucket").applyInArrow(_shared, BLOCKS).groupBy("block").applyInArrow(_by_doc, "id long, tk long, runs binary")
-    runs = runs.join(copies, ["id", "tk"], "left_anti").dropDuplicates(["id", "tk"])
+    # The minimizers of all windows leave the disks before texts and pieces come to them.
+    runs = cut(runs.join(copies, ["id", "tk"], "left_anti").dropDuplicates(["id", "tk"]), release=True)
     texts = runs.join(slim.withColumnsRenamed({"id": "_i", "tk": "_t"}), (F.col("id") == F.col("_i")) & (F.col("tk") == F.col("_t"))).select("id", "tk", "runs", "text")
     pieces = texts.mapInArrow(_pieces(buckets, s), "shard int, data binary, size binary, piece binary, ids binary, tks binary, start binary")
     spans = pieces.groupBy("shard").applyInArrow(_sort(s), "id long, tk long, start long, end long")
     spans = spans.union(copies).groupBy("id", "tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return cut(spans)
+    return cut(spans, release=True)
 
 
 def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -522,8 +523,6 @@ def dedup(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     slim = keyed.select("_key.id", "_key.tk", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= s.length)
     whole = cut(slim.select("id", "tk", F.md5("text").alias("md"), F.octet_length("text").cast("long").alias("n")))
     spans = _spans(slim, whole, s)
-    # Nothing reads the shuffles behind the stored spans any more: they leave the disks before the texts move again.
-    documents.sparkSession.sparkContext._jvm.System.gc()
     spans = spans.withColumnsRenamed({"id": "_i", "tk": "_t", "spans": "_spans"})
     both = keyed.join(spans, (F.col("_key.id") == F.col("_i")) & (F.col("_key.tk") == F.col("_t")), "left")
     return both.withColumn("cut_", F.arrow_udf(_without, "kept binary, n_bytes long, n_removed long, n_spans long")(F.coalesce("text", F.lit("")), "_spans")).select(*names, "cut_")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 PREFIX = "gridspark-cut-"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWNER: ContextVar[Cuts | None] = ContextVar("gridspark_cuts", default=None)
 
 
@@ -81,17 +84,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside the block take their shuffles off the disks, instead of when the JVM happens to collect them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends at a stored table, so the loss of an executor replays
     nothing and a range slice or a loop round is never computed anew. The plan's
     size estimate restarts from the real file sizes, which keeps long loops cheap
-    to plan.
+    to plan. With ``release`` the shuffles of the write leave the disks with its end.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with released(spark) if release else nullcontext():
+        df.write.parquet(path)
     if (owner := _OWNER.get()) is not None:
         owner.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

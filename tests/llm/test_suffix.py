@@ -117,3 +117,36 @@ def test_repeated_rows_in_another_order_over_partitions(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(twice, 2), "doc_id long, text string")
     got = sorted(((r.doc_id, r.cut_.n_bytes, r.cut_.n_removed, r.cut_.n_spans, hashlib.sha256(bytes(r.cut_.kept)).hexdigest()) for r in dedup(df).collect()), key=str)
     assert got == brute(twice)
+
+
+def test_shuffles_of_minimizers_are_gone_before_pieces_are_sorted(spark, monkeypatch, tmp_path):
+    from gridspark.llm import suffix
+
+    rng = random.Random(5)
+    pool = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) for _ in range(9)]
+    rows = [(k, " ".join(rng.choice(pool) if rng.random() < 0.6 else str(rng.random()) for _ in range(5))) for k in range(60)]
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    scratch = str(tmp_path)
+
+    def noting(name, step):
+        def run(table):
+            import os
+            import uuid
+
+            names = {f.split("_")[1] for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+            with open(f"{scratch}/{name}-{uuid.uuid4().hex}", "w") as out:
+                out.write(" ".join(names))
+            return step(table)
+
+        return run
+
+    seen = lambda name: {k for f in tmp_path.glob(f"{name}-*") for k in f.read_text().split()}
+    monkeypatch.setattr(suffix, "_shared", noting("shared", suffix._shared))
+    sort = suffix._sort
+    monkeypatch.setattr(suffix, "_sort", lambda s: noting("sort", sort(s)))
+    noting("before", lambda _: None)(None)
+    assert run(spark, rows) == brute(rows)
+    minimizers = seen("shared") - seen("before")
+    assert minimizers and seen("sort")
+    assert not minimizers & seen("sort")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
