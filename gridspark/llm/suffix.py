@@ -34,6 +34,7 @@ from gridspark.llm.common import BYTE_VALUE, U, Block, blocks, mix, powers
 from gridspark.session import cut
 
 LAST_ID = (1 << 63) - 1
+STEP = 1 << 15  # windows hashed at a time
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ class _Pass:
     """Sends the predecessors of scanned suffixes to their queues and carries common prefixes."""
 
     def __init__(self, text: np.ndarray, queues: Queues, cap: int):
-        self.text, self.queues, self.cap = text, queues, cap
+        self.text, self.queues, self.cap = text.astype(np.uint8), queues, cap
         self.since = np.zeros(257, np.int64)  # least common prefix passed since a queue's last entry
 
     def bucket(self) -> None:
@@ -114,15 +115,12 @@ class _Pass:
         """``at``: suffixes in scan order, ``lcp``: each with the one scanned before it."""
         if not len(at):
             return
-        lcp = lcp.astype(np.int64)
         before = at - 1
-        ok = before >= 0
-        char = np.where(ok, self.text[np.maximum(before, 0)], 0).astype(np.int64)
-        ok &= keep(char)
-        pick = np.flatnonzero(ok)
-        order = np.argsort(char[pick], kind="stable")
-        pick = pick[order]
+        char = self.text[before]  # before the first one stands the 0 that closes the last piece
+        pick = np.flatnonzero(keep(char))
         to = char[pick]
+        order = np.argsort(to, kind="stable")
+        pick, to = pick[order], to[order]
         edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
         whole = int(lcp.min())
         last = self.since.copy()
@@ -132,9 +130,9 @@ class _Pass:
             of, c = pick[first:end], int(to[first])
             # Minima from behind the queue's last entry up to this one.
             bounds = np.concatenate([[0], of[:-1] + 1])
-            low = np.minimum.reduceat(np.append(lcp[: of[-1] + 1], 1 << 30), bounds)
-            low[0] = min(low[0], last[c])
-            self.queues.put(c, before[of], np.minimum(low + 1, self.cap).astype(np.uint8))
+            low = np.minimum.reduceat(lcp[: of[-1] + 1], bounds)
+            low[0] = min(int(low[0]), int(last[c]))
+            self.queues.put(c, before[of], np.minimum(low, self.cap - 1) + np.uint8(1))
             tail = lcp[of[-1] + 1:]
             self.since[c] = int(tail.min()) if len(tail) else 1 << 30
 
@@ -147,18 +145,50 @@ def _common(text: np.ndarray, a: int, b: int, cap: int) -> int:
     return n
 
 
-def _words(text: np.ndarray, at: np.ndarray, room: np.ndarray, n: int) -> list[np.ndarray]:
-    """The ``8 * n`` characters from each place as words; what lies beyond its ``room`` is 0."""
-    padded = np.concatenate([text.astype(np.uint8), np.zeros(8 * n + 8, np.uint8)])
-    every = np.ndarray((len(text) + 8 * n,), ">u8", padded, strides=(1,))  # the word at each byte
-    keep = np.array([0, *((0xFFFFFFFFFFFFFFFF << 8 * (8 - k)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 9))], U)
-    return [every[at + 8 * k].astype(U) & keep[np.clip(room - 8 * k, 0, 8)] for k in range(n)]
+def _common_bytes(x: np.ndarray) -> np.ndarray:
+    """Equal leading bytes of two words that differ by ``x``."""
+    n = np.zeros(len(x), np.uint8)
+    for k in range(8):
+        n += x < U(1 << 8 * k)
+    return n
 
 
-def _first(marks: np.ndarray) -> np.ndarray:
-    """Place of the first marked byte of each word, 8 where there is none."""
-    at = marks.argmax(1)
-    return np.where(marks[np.arange(len(marks)), at], at, 8)
+def _sample_order(text: np.ndarray, star: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``star`` in order, and the common prefix of each with the one before.
+
+    Words of eight characters are compared; what lies beyond the end of a piece is 0. Only suffixes that agree
+    with a neighbour in a whole word are put in order by the next one.
+    """
+    ends = np.flatnonzero(text == 0)
+    room = ends[np.searchsorted(ends, star)] - star
+    padded = np.concatenate([text.astype(np.uint8), np.zeros(cap + 16, np.uint8)])
+    every = np.ndarray((len(text) + cap + 8,), ">u8", padded, strides=(1,))  # the word at each byte
+    keep = np.array([0, *((0xFFFFFFFFFFFFFFFF << 8 * (8 - k)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 9))], U)
+    lcp = np.zeros(len(star), np.uint16)
+    star, where, group = star.copy(), np.arange(len(star)), None
+    for done in range(0, cap, 8):
+        if not len(where):
+            break
+        at, left = star[where], room[where]
+        word = every[at + done].astype(U) & keep[np.clip(left - done, 0, 8)]
+        order = np.argsort(word)
+        if group is not None:  # by group, then by word
+            rank = np.cumsum(np.concatenate([[False], word[order[1:]] != word[order[:-1]]]))
+            order = order[np.argsort((group[order] << 32) | rank)]
+        star[where], room[where], word = at[order], left[order], word[order]
+        # Group numbers stand in order already, so sorting left them as they were.
+        differs = word[1:] ^ word[:-1]
+        near = np.ones(len(differs), bool) if group is None else group[1:] == group[:-1]
+        width = _common_bytes(differs)
+        same = near & (differs == 0)
+        short = np.flatnonzero(same & ((word[1:] & U(0xFF)) == 0))  # a 0 ends the piece; what follows it does not count
+        width[short] = np.minimum(left[order][1:][short] - done, 8)
+        lcp[where[1:][near]] += width[near]
+        same[short] = False
+        going = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        group = np.cumsum(np.concatenate([[True], ~same]))[going]
+        where = where[going]
+    return star, np.minimum(lcp, cap).astype(np.uint8)
 
 
 def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,28 +200,15 @@ def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator
     n = len(text)
     if not n:
         return
-    change = np.flatnonzero(text[1:] != text[:-1])
-    nxt = change[np.minimum(np.searchsorted(change, np.arange(n)), max(len(change) - 1, 0))] + 1 if len(change) else np.full(n, n - 1)
-    small = text[np.minimum(nxt, n - 1)] > text  # S-type: the next other character is larger
+    heads = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])  # of equal characters
+    rises = np.append(text[heads[1:]] > text[heads[:-1]], False)
+    small = np.repeat(rises, np.diff(np.append(heads, n)))  # S-type: the next other character is larger
     small[text == 0] = True
-    del nxt, change
+    del heads, rises
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     star = star[text[star] != 0]
     ends = np.flatnonzero(text == 0)
-    words = _words(text, star, ends[np.searchsorted(ends, star)] - star, -(-cap // 8))
-    order = np.lexsort(words[::-1])
-    star = star[order]
-    lcp = np.zeros(len(star), np.int64)
-    going = np.arange(1, len(star))  # neighbours that agree so far
-    for w in words:
-        w = w[order].astype(">u8").view(np.uint8).reshape(-1, 8)
-        x, y = w[going - 1], w[going]
-        # A 0 ends the piece; what follows it does not count as common.
-        width = np.minimum(_first(x != y), _first(y == 0))
-        lcp[going] += width
-        going = going[width == 8]
-    lcp = np.minimum(lcp, cap).astype(np.uint8)
-    del words, order
+    star, lcp = _sample_order(text, star, cap)
     first = text[star]
     top = int(text.max())
     starts = np.searchsorted(first, np.arange(top + 2))
@@ -246,33 +263,42 @@ def suffix_order(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator
 # --- candidate runs ---------------------------------------------------------------------------
 
 
+def _minimizers(data: np.ndarray, s: Settings) -> np.ndarray:
+    """The least hash among the grams of each window, computed for as many windows at a time as the caches hold."""
+    w, out = s.length - s.gram + 1, []
+    for a in range(0, len(data) - s.length + 1, STEP):
+        part = data[a: a + STEP + s.length - 1]
+        n = len(part)
+        with np.errstate(over="ignore"):
+            c = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_VALUE[part] * powers(n), dtype=U)])
+            # Weights grow by one odd factor a byte; its inverse makes grams of all places comparable.
+            low = mix((c[s.gram:] - c[: -s.gram]) * powers(n - s.gram + 1, inverse=True))
+        have = 1
+        while have < w:
+            step = min(have, w - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        out.append(low)
+    return np.concatenate(out)
+
+
 def window_runs(block: Block, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one minimizer: document, first window, last window (bytes in the document), minimizer."""
-    data, n, w = block.data, len(block.data), s.length - s.gram + 1
     none = np.zeros(0, np.int64)
-    if n < s.length:
+    if len(block.data) < s.length:
         return none, none, none, np.zeros(0, U)
-    with np.errstate(over="ignore"):
-        c = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_VALUE[data] * powers(n), dtype=U)])
-        # Weights grow by one odd factor a byte; its inverse makes grams of all places comparable.
-        h = mix((c[s.gram:] - c[: -s.gram]) * powers(n - s.gram + 1, inverse=True))
-    low, have = h, 1
-    while have < w:
-        step = min(have, w - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
+    low = _minimizers(block.data, s)
     m = len(low)
-    start = np.arange(m)
-    doc = block.doc_of(start)
-    inside = block.offsets[doc + 1] - start >= s.length
     new = np.ones(m, bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new & inside)
+    new[1:] = low[1:] != low[:-1]
+    new[block.offsets[block.offsets < m]] = True
+    first = np.flatnonzero(new)
+    doc = block.doc_of(first)
     # A run ends before the next one or where the document leaves no room for a window.
-    edge = np.append(np.flatnonzero(new), m)
-    end = edge[np.searchsorted(edge, first, side="right")] - 1
-    end = np.minimum(end, block.offsets[doc[first] + 1] - s.length)
-    return doc[first], first - block.offsets[doc[first]], end - block.offsets[doc[first]], low[first]
+    end = np.minimum(np.append(first[1:], m) - 1, block.offsets[doc + 1] - s.length)
+    inside = end >= first
+    doc, first, end = doc[inside], first[inside], end[inside]
+    return doc, first - block.offsets[doc], end - block.offsets[doc], low[first]
 
 
 def _emit(buckets: int, s: Settings):
@@ -420,9 +446,8 @@ def _sort(s: Settings):
         stop = begin + length
         text[stop] = 0
         owner = np.repeat(np.arange(len(pieces)), length + 1)
-        full = np.zeros(len(text), bool)  # places where a whole window fits
-        where = np.arange(len(text))
-        full[:] = stop[owner] - where >= s.length
+        full = stop[owner] - np.arange(len(text)) >= s.length  # places where a whole window fits
+        holds = np.where(full, least[owner], LAST_ID)
         best = np.full(len(text), LAST_ID)
         group_at: list[np.ndarray] = []
 
@@ -430,7 +455,7 @@ def _sort(s: Settings):
             if group_at:
                 x = np.concatenate(group_at)
                 if len(x):
-                    best[x] = least[owner[x]].min()
+                    best[x] = holds[x].min()
                 group_at.clear()
 
         for at, lcp in suffix_order(text, s.length, s.memory):
@@ -445,7 +470,7 @@ def _sort(s: Settings):
             body = at[cutat[0]: cutat[-1]]
             if len(body):
                 edges = cutat[:-1] - cutat[0]
-                low = np.minimum.reduceat(np.where(full[body], least[owner[body]], LAST_ID), edges)
+                low = np.minimum.reduceat(holds[body], edges)
                 best[body] = np.repeat(low, np.diff(np.append(edges, len(body))))
             tail = at[cutat[-1]:]
             group_at.append(tail[full[tail]])
